@@ -1,8 +1,15 @@
 """Queries of the training-data operators and their DuckDB oracles."""
 
-from . import near_dedup
+from . import chat, mixing, near_dedup, packing, topk
 
 QUERIES: dict = {
+    "op2_source_mixing": mixing.op2_source_mixing,
+    "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_minhash_near_dedup": near_dedup.op5_minhash_near_dedup,
+    "op6_exact_topk": topk.op6_exact_topk,
+    "op7_harmonic_packing": packing.op7_harmonic_packing,
+}
+ORACLES: dict = {
+    "op4_chat_formatting": chat.OP4_SQL,
+    "op6_exact_topk": topk.OP6_SQL,
 }
-ORACLES: dict = {}
