@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import public_tokenizers
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ SLACK = 128
 CACHED_WORDS = 600_000
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, slots int, part int, k long"
 _cache: dict[int, bytes] = {}
+_kept: dict[str, bytes] = {}
 _tokenizers: dict[str, Tokenizer] = {}
 
 
@@ -47,8 +49,37 @@ def pieces_of(tokens: int, capacity: int = CAPACITY, slack: int = SLACK) -> list
     return out
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if printable, else the next from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in shown)}
+
+
+_LETTERS = _byte_letters()
+#: Fixed value: the pattern that the vocabulary's own file splits text by.
+_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_ODD_SPACE = regex.compile(r"[^\S\n]|[\x1c-\x1f]")
+
+
 def _encode(words: list[bytes], tokenizer: Tokenizer) -> list[bytes]:
-    return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+    """Ids of each word. The words are normalised together and looked up piece by piece; the pieces' ids are kept.
+    A batch that holds other white space than the words' own ends goes through the tokenizer as it is."""
+    texts = [w.decode("utf-8", "replace") for w in words]
+    joined = "\n".join(texts)
+    parts = tokenizer.normalizer.normalize_str(joined).split(" ") if texts and not _ODD_SPACE.search(joined) else []
+    if len(parts) != len(texts):
+        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    model, out = tokenizer.model, []
+    if len(_kept) > CACHED_WORDS:
+        _kept.clear()
+    for part in parts:
+        ids = b""
+        for piece in _SPLIT.findall(part):
+            if (got := _kept.get(piece)) is None:
+                got = _kept[piece] = np.array([t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(_LETTERS))], "<u4").tobytes()
+            ids += got
+        out.append(ids)
+    return out
 
 
 def token_ids(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -58,6 +89,7 @@ def token_ids(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndar
         _tokenizers[path] = Tokenizer.from_file(path)
         _tokenizers[path].encode_special_tokens = True
         _cache.clear()
+        _kept.clear()
     start, end = word_bounds(data, offsets)
     n = len(offsets) - 1
     row = np.searchsorted(offsets, start, "right") - 1
