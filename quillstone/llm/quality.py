@@ -21,7 +21,7 @@ REJECT = 0.5
 ABSTAIN, BAD, GOOD = 0, 1, 2
 LABELLERS = ("symbols", "endings", "capitals", "exclaims", "columns", "loose_marks", "repeats", "same_lines", "letters", "case", "sentences", "echoes")
 #: Labellers are taken to be better than chance and never certain.
-ACCURACY = (0.6, 0.99)
+ACCURACY = (0.8, 0.99)
 _SYMBOL, _UPPER, _LETTER, _EXCLAIM, _PIPE, _STOP = (np.zeros(256, np.int64) for _ in range(6))
 _SYMBOL[list(b"#$%&*~^<>{}@_=")] = 1
 _UPPER[65:91] = 1
