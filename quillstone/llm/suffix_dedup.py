@@ -27,7 +27,8 @@ from .storage import cut, table
 
 WIDTH, GRAM = 100, 24
 SHALLOW = 32
-HOT = 256
+#: Contexts sorted together; at under 180 bytes each, a group is at most 1.5 MB.
+HOT = 8192
 _PLACE = 24
 _SPAN = WIDTH - GRAM + 1
 
