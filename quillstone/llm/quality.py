@@ -189,8 +189,10 @@ def classify(docs: DataFrame, sample: int = SAMPLE, reject: float = REJECT) -> D
     seen = docs.mapInArrow(_batched(_patterns, ["pattern"]), "doc_id long, pattern long").groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).orderBy("pattern").collect()
     votes, counts = _unpack(np.array([r.pattern for r in seen], np.int64)), np.array([r.n for r in seen], float)
     prior, accuracy = fit_labellers(votes, counts)
-    few = docs.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(sample) if sample else docs
-    rows = few.mapInArrow(_batched(_examples, ["pattern", "features"]), "doc_id long, pattern long, features binary").collect()
+    h = F.xxhash64("doc_id", F.lit(SEED))
+    edge = docs.select(h.alias("h")).orderBy("h").limit(sample).agg(F.max("h").alias("edge")).first().edge
+    few = docs.filter(h <= F.lit(edge)).mapInArrow(_batched(_examples, ["pattern", "features"]), "doc_id long, pattern long, features binary")
+    rows = few.limit(sample).collect()
     some = _unpack(np.array([r.pattern for r in rows], np.int64))
     voted = (some != ABSTAIN).any(1)
     x = np.stack([np.frombuffer(r.features, np.float32) for r in rows]) if rows else np.zeros((0, DIMS), np.float32)
