@@ -78,7 +78,8 @@ def mix(docs: DataFrame, seed: int = SEED, limit: int = LIMIT) -> DataFrame:
     seeded hash of doc_id among those of each length, so reruns agree. Size counts words [^\\x20\\x09-\\x0D]+;
     null and empty texts have none and are never more than 0. Weights are 1, 2, 3, repeating over the sources
     by code point, null last. Only doc_id, source and text are read. Repeated rows are documents of their own,
-    ranked arbitrarily among themselves. The driver sees one row per source; lengths are counted before any
+    ranked arbitrarily among themselves. Documents are taken whole, so a source comes as near its target as
+    its lengths allow: exactly in all but tiny sources. The driver sees one row per source; lengths are counted before any
     shuffle, and a hot length is ranked in about the square root of its documents at a time.
     """
     spark = docs.sparkSession
