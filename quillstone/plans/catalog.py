@@ -296,7 +296,7 @@ def infer_hp(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CONFS = ["dealer_confidence", "model_confidence", "power_confidence", "cost_confidence"]
 
 
-@query(f"SELECT doc_id, CAST(round_even(CAST(({' + '.join(f'coalesce({c}, 0)' for c in _CONFS)} + CAST(0.9 AS DOUBLE) + CAST(0.9 AS DOUBLE)) / ({' + '.join(f'CASE WHEN {c} IS NULL THEN 0 ELSE 1 END' for c in _CONFS)} + 2) AS DECIMAL(18, 9)), 2) AS DOUBLE) AS confidence FROM ({FIELDS})")
+@query()
 def doc_confidence_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = views.extracted_fields(spark, sf_dir)
     return f.select("doc_id", rules.mean_confidence(*(f[c] for c in _CONFS), F.lit(0.9), F.lit(0.9)).alias("confidence"))
