@@ -11,8 +11,9 @@ from .storage import cut
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """(node, component): each node of edges with the smallest node reachable from it.
 
-    Minimum labels spread along the edges and through the labels themselves (pointer jumping), so the
-    rounds grow with the logarithm of the diameter. Each round is a written table; only a change count
+    Nodes of one label are a class. In every round each class takes the smallest label next to any of its nodes,
+    and then that class's own choice (pointer jumping), so classes merge whole and the rounds grow with the
+    logarithm of the node count, not with the diameter. Each round is a written table; only a change count
     reaches the driver. Hubs are safe: minima are pre-aggregated and the joins split skewed sides.
     Self-loops and repeated edges are allowed; an empty input gives an empty result.
     """
@@ -21,9 +22,9 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     labels = cut(pairs.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
     while True:
         near = pairs.join(labels.select(F.col("node").alias("v"), "component"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "node").select("node", F.least("component", "near").alias("component"), F.col("component").alias("old"))
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("jump"))
-        now = cut(step.join(jump, "component", "left").select("node", F.least("component", "jump").alias("component"), "old"), "labels")
-        if now.filter("component <> old").limit(1).count() == 0:
-            return now.select("node", "component")
-        labels = now.select("node", "component")
+        classes = labels.join(near, "node").groupBy("component").agg(F.least("component", F.min("near")).alias("least"))
+        jump = classes.select(F.col("component").alias("least"), F.col("least").alias("jump"))
+        classes = cut(classes.join(jump, "least", "left").select("component", F.least("least", "jump").alias("now")), "classes")
+        if classes.filter("now <> component").limit(1).count() == 0:
+            return labels
+        labels = cut(labels.join(classes, "component").select("node", F.col("now").alias("component")), "labels")

@@ -18,7 +18,7 @@ Confirm = Callable[[pa.ChunkedArray, list[int], list[int], list[bool]], list[tup
 
 
 def spanning(ids: list[int], known: list[int], focus: list[bool], near: Callable[[int], np.ndarray], same: Callable[[int, int], bool]) -> list[tuple[int, int]]:
-    """Confirmed links that connect all rows that confirmed links connect, beyond the parts in known.
+    """Pairs that connect all rows that confirmed links connect, beyond the parts in known: one row of each part, with the smallest of those.
 
     near(i) has for each later row a distance, or -1 for no candidate; same(i, j) confirms a link. Candidates go
     by distance, pairs already connected are skipped, and so are those without a row in focus.
@@ -38,13 +38,16 @@ def spanning(ids: list[int], known: list[int], focus: list[bool], near: Callable
     for i in range(len(ids)):
         far = near(i)
         pairs += [(int(far[j]), i, i + 1 + int(j)) for j in np.flatnonzero(far >= 0) if focus[i] or focus[i + 1 + j]]
-    out = []
+    before = [find(i) for i in range(len(ids))]
     for _, i, j in sorted(pairs):
         a, b = find(i), find(j)
         if a != b and same(i, j):
             root[a] = b
-            out.append((ids[i], ids[j]))
-    return out
+    # stars, not the paths by which links were found, so that components need few rounds
+    best: dict[int, int] = {}
+    for a in dict.fromkeys(before):
+        best[find(a)] = min(best.get(find(a), ids[a]), ids[a])
+    return [(ids[a], best[find(a)]) for a in dict.fromkeys(before) if ids[a] != best[find(a)]]
 
 
 def _block(confirm: Confirm):
