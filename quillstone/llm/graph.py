@@ -2,23 +2,67 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import cut
 
+#: Edges that a task holds at a time.
+HELD = 1 << 20
+
+
+def contract(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node of its component) of each node but the smallest; one that has only a loop keeps it."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        x, y = label[a], label[b]
+        low, high = np.minimum(x, y), np.maximum(x, y)
+        if (low == high).all():
+            break
+        np.minimum.at(label, high, low)
+        while ((jump := label[label]) != label).any():
+            label = jump
+    shown = (label != np.arange(len(nodes))) | (np.bincount(label, minlength=len(nodes))[label] == 1)
+    return nodes[shown], nodes[label[shown]]
+
+
+def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars that connect what the edges u, v of a task connect, from HELD edges at a time."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def stars() -> pa.RecordBatch:
+        x, y = contract(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["u", "v"])
+
+    for batch in batches:
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        if sum(len(x) for x, _ in held) >= HELD:
+            yield stars()
+            held.clear()
+    if held:
+        yield stars()
+
 
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """(node, component): each node of edges with the smallest node reachable from it.
 
-    Nodes of one label are a class. In every round each class takes the smallest label next to any of its nodes,
+    Tasks first contract the edges they have to stars, then the stars of the files they read. Nodes of one label
+    are a class. In every round each class takes the smallest label next to any of its nodes,
     and then that class's own choice (pointer jumping), so classes merge whole and the rounds grow with the
     logarithm of the node count, not with the diameter. Each round is a written table; only a change count
     reaches the driver. Hubs are safe: minima are pre-aggregated and the joins split skewed sides.
     Self-loops and repeated edges are allowed; an empty input gives an empty result.
     """
-    pairs = edges.select(F.col(u).alias("u"), F.col(v).alias("v"))
-    pairs = cut(pairs.union(pairs.select("v", "u")).distinct(), "edges")
+    stars = edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v"))
+    for name in ("stars", "edges"):
+        stars = cut(stars.mapInArrow(contracted, "u long, v long"), name)
+    pairs = stars.union(stars.select("v", "u"))
     labels = cut(pairs.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
     while True:
         near = pairs.join(labels.select(F.col("node").alias("v"), "component"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("near"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from quillstone.llm import chat, lines, media, mixing, near_dedup, packing, pii, quality, suffix_dedup, topk
+from quillstone.llm import chat, graph, lines, media, mixing, near_dedup, packing, pii, quality, suffix_dedup, topk
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h long, id long, key string"
 WORDS = "alpha beta gamma delta eps zeta eta theta iota kappa lambda mu nu xi pi rho sigma tau phi chi psi omega".split()
@@ -139,6 +139,26 @@ def test_edit_distance():
         assert lines.edit_distance(a, b) == row[-1]
 
 
+def test_components(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HELD", 64)
+    rng = np.random.default_rng(3)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000 + i, 1001 + i) for i in range(300)] + [(2000, 2001 + i) for i in range(50)] + [(5000, 5000), (7, 7)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    got = graph.components(spark.createDataFrame(edges, "u long, v long").repartition(5))
+    assert {(r.node, r.component) for r in got.collect()} == {(x, find(x)) for x in root}
+    assert got.count() == len(root)
+    assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 def test_near_duplicates(docs, empty, texts):
     got = {r.doc_id: r for r in near_dedup.near_duplicates(docs).collect()}
     sets = {}
