@@ -58,10 +58,11 @@ def _block(confirm: Confirm):
     return links
 
 
-def linked(ties: DataFrame, texts: DataFrame, confirm: Confirm) -> DataFrame:
+def linked(ties: DataFrame, texts: DataFrame, confirm: Confirm, further: bool = True) -> DataFrame:
     """(node, component) of every row that a confirmed link reaches; component is its smallest node.
 
-    ties has u, v and connects at least all rows that links connect; texts has doc_id, text. Tied sets are dealt
+    ties has u, v and connects at least all rows that links connect; texts has doc_id, text, and with further also
+    rows without ties, which go before anything is dealt. Tied sets are dealt
     into blocks of BLOCK rows. Sets of several blocks share PIVOTS rows; rows that the pivots leave outside the
     largest confirmed part are then compared with all blocks of their set. So no link between parts is lost, and
     no task holds more than two blocks.
@@ -70,6 +71,8 @@ def linked(ties: DataFrame, texts: DataFrame, confirm: Confirm) -> DataFrame:
     h = F.xxhash64("doc_id", F.lit(5))
     blocks = F.ceil(F.col("n") / BLOCK)
     sized = cut(sets.join(sets.groupBy("set_id").agg(F.count(F.lit(1)).alias("n")), "set_id").select("doc_id", "set_id", blocks.alias("blocks"), F.pmod(h, blocks).alias("block")), "blocks")
+    if further:
+        texts = cut(texts.hint("merge").join(sized.select("doc_id"), "doc_id").select("doc_id", "text"), "tied-texts")
     large = sized.filter("blocks > 1")
     pivots = large.groupBy("set_id", F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(PIVOTS)).alias("g")).agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(7)), "doc_id", "blocks")).alias("p"))
     pivots = pivots.select(F.col("p.doc_id").alias("doc_id"), "set_id", F.col("p.blocks").alias("blocks"))
