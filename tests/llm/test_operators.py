@@ -126,6 +126,28 @@ def test_lines(docs, empty, texts):
     assert lines.dedup_lines(empty).count() == 0
 
 
+def test_lines_by_edit_similarity(spark):
+    """Against edit similarity alone: one or two words changed in lines of many lengths, and typing errors in short ones."""
+    rng = random.Random(17)
+    rows = []
+    for n in [6] * 10 + [10, 20, 40, 80] * 10:
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(n)]
+        other = list(words)
+        if n == 6:
+            other[2] = other[2][:-1] + "0"
+        for k in rng.sample(range(n), 1 + (n > 10)) if n > 6 else []:
+            other[k] = rng.choice(words)
+        rows += [" ".join(words), " ".join(other).upper() + "!"]
+    names = [lines.normalised(t.encode()) for t in rows]
+    group = list(range(len(rows)))
+    for j in range(len(rows)):
+        for i in range(j):
+            if lines.edit_distance(names[i], names[j]) <= 0.2 * max(len(names[i]), len(names[j])):
+                group = [group[i] if g == group[j] else g for g in group]
+    got = lines.dedup_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got if r.removed} == {i for i, g in enumerate(group) if i != g} and len(set(group)) < 0.6 * len(rows)
+
+
 def test_edit_distance():
     rng = random.Random(3)
     for _ in range(200):
