@@ -148,6 +148,12 @@ def test_lines_by_edit_similarity(spark):
     assert {r.doc_id for r in got if r.removed} == {i for i, g in enumerate(group) if i != g} and len(set(group)) < 0.6 * len(rows)
 
 
+def test_short_lines(spark):
+    rows = [(1, "Ietzte.\nfirst of these\n\n--"), (2, "ietzte\nAll rights reserved.\n\n--"), (3, "all rights reserved\nyes"), (4, "Yes!\nno")]
+    got = {r.doc_id: r.removed for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [0], 3: [0], 4: [0]}
+
+
 def test_edit_distance():
     rng = random.Random(3)
     for _ in range(200):
