@@ -29,8 +29,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    dropped = near_duplicates(docs).filter(~F.col("kept")).select("doc_id")
+    """Of each group of near-duplicates, linked from a similarity of 0.8, the document with the smallest doc_id stays."""
+    dropped = near_duplicates(docs, percent=80).filter(~F.col("kept")).select("doc_id")
     return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
 
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from quillstone.llm import chat, graph, lines, media, mixing, near_dedup, packing, pii, quality, suffix_dedup, topk
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h long, id long, key string"
@@ -212,6 +213,23 @@ def test_hamming_guarantee():
     assert (near_dedup.bucket_keys(a) == near_dedup.bucket_keys(b)).any(1).all()
 
 
+def test_near_dedup_stage(spark):
+    """The stage links from 0.8: two words of 100 replaced give 86 / 106 common shingles, three 81 / 111."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(20):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(100)]
+        two = words[:30] + ["x"] + words[31:60] + ["y"] + words[61:]
+        rows += [(3 * i, " ".join(words)), (3 * i + 1, " ".join(two)), (3 * i + 2, " ".join(words[:20] + ["p"] + words[21:50] + ["q"] + words[51:80] + ["r"] + words[81:]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()} == {i for i, _ in rows if i % 3 != 1}
+    a = np.random.default_rng(2).integers(0, 1 << 16, (200, near_dedup.KEYS)).astype(np.uint16)
+    b = a.copy()
+    for row in b:
+        row[rng.sample(range(near_dedup.KEYS), near_dedup.LOW[1])] += 1
+    assert (near_dedup.bucket_keys(a, *near_dedup.LOW) == near_dedup.bucket_keys(b, *near_dedup.LOW)).any(1).all()
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "<|im_end|> <\\|x"), (1, 1, "assistant", None), (1, 2, "assistant", "a<"), (2, 0, "assi\nst%0A", "|im_end|>\n"), (None, 0, None, "")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
