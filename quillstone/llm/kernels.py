@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(0, 2**63, 256, dtype=U) * U(2) + U(1)
 _BASE = 0x9E3779B97F4A7C15 | 1

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +14,9 @@ from .storage import cut
 
 #: Rows of a block, and shared pivots of a tied set that has several blocks.
 BLOCK, PIVOTS = 64, 16
-Confirm = Callable[[pa.ChunkedArray, list[int], list[int], list[bool]], list[tuple[int, int]]]
+#: Rows looked at together; a block that goes on is carried over.
+HELD_ROWS = 512
+Confirm = Callable[[pa.Table, list[int], list[int], list[bool]], list[tuple[int, int]]]
 
 
 def spanning(ids: list[int], known: list[int], focus: list[bool], near: Callable[[int], np.ndarray], same: Callable[[int, int], bool]) -> list[tuple[int, int]]:
@@ -50,42 +52,81 @@ def spanning(ids: list[int], known: list[int], focus: list[bool], near: Callable
     return [(ids[a], best[find(a)]) for a in dict.fromkeys(before) if ids[a] != best[find(a)]]
 
 
-def _block(confirm: Confirm):
-    def links(t: pa.Table) -> pa.Table:
-        found = confirm(t.column("text"), t.column("doc_id").to_pylist(), t.column("known").to_pylist(), t.column("focus").to_pylist())
-        return pa.table({"u": pa.array([x for x, _ in found], pa.int64()), "v": pa.array([x for _, x in found], pa.int64())})
-
-    return links
-
-
-def linked(ties: DataFrame, texts: DataFrame, confirm: Confirm, further: bool = True) -> DataFrame:
-    """(node, component) of every row that a confirmed link reaches; component is its smallest node.
-
-    ties has u, v and connects at least all rows that links connect; texts has doc_id, text, and with further also
-    rows without ties, which go before anything is dealt. Tied sets are dealt
-    into blocks of BLOCK rows. Sets of several blocks share PIVOTS rows; rows that the pivots leave outside the
-    largest confirmed part are then compared with all blocks of their set. So no link between parts is lost, and
-    no task holds more than two blocks.
+def _blocks(confirm: Confirm, by: int):
+    """Rows come sorted by their first by columns, then known, focus and the columns of texts; whole blocks are confirmed, a batch at a time."""
+    names = ["u", "v"]
+
+    def links(t: pa.Table) -> tuple[list[int], list[int]]:
+        found = confirm(t, t.column("doc_id").to_pylist(), t.column("known").to_pylist(), t.column("focus").to_pylist())
+        return [x for x, _ in found], [x for _, x in found]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def done(t: pa.Table, edges: list[int]) -> pa.RecordBatch:
+            u, v = [], []
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if b - a > 1:
+                    x, y = links(t.slice(a, b - a))
+                    u += x
+                    v += y
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=names)
+
+        for batch in batches:
+            for lo in range(0, len(batch), HELD_ROWS):
+                part = pa.Table.from_batches([batch.slice(lo, HELD_ROWS)])
+                held = part if held is None else pa.concat_tables([held, part])
+                keys = [held.column(k).to_numpy() for k in range(by)]
+                new = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+                edges = [0, *(np.flatnonzero(new) + 1).tolist()]
+                yield done(held, edges)
+                held = held.slice(edges[-1])
+        if held is not None:
+            yield done(held, [0, len(held)])
+
+    return run
+
+
+def linked(sets: DataFrame, texts: DataFrame, confirm: Confirm, further: bool = False, pairs: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(node, component) of rows that a confirmed link reaches; component is its smallest node, which itself may be left out.
+
+    sets has doc_id, set_id and puts at least all rows that links connect into one set; texts has doc_id and what confirm reads, and
+    with further also rows in no set, which go before anything is dealt. A row of texts may be there twice.
+    Sets of up to BLOCK rows are confirmed whole. Larger ones are dealt into blocks of BLOCK rows that share
+    PIVOTS rows. What that leaves apart is compared again: with pairs, which is given the rows of the large sets, only
+    the pairs u, v that it returns; else rows outside the largest confirmed part with all blocks of their set, so
+    that no link between parts is lost. No task holds more than two blocks.
     """
-    sets = components(ties).select(F.col("node").alias("doc_id"), F.col("component").alias("set_id"))
     h = F.xxhash64("doc_id", F.lit(5))
     blocks = F.ceil(F.col("n") / BLOCK)
-    sized = cut(sets.join(sets.groupBy("set_id").agg(F.count(F.lit(1)).alias("n")), "set_id").select("doc_id", "set_id", blocks.alias("blocks"), F.pmod(h, blocks).alias("block")), "blocks")
+    counts = sets.groupBy("set_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    sized = cut(sets.join(counts, "set_id").select("doc_id", "set_id", blocks.alias("blocks"), F.pmod(h, blocks).alias("block")), "blocks")
     if further:
-        texts = cut(texts.hint("merge").join(sized.select("doc_id"), "doc_id").select("doc_id", "text"), "tied-texts")
-    large = sized.filter("blocks > 1")
-    pivots = large.groupBy("set_id", F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(PIVOTS)).alias("g")).agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(7)), "doc_id", "blocks")).alias("p"))
-    pivots = pivots.select(F.col("p.doc_id").alias("doc_id"), "set_id", F.col("p.blocks").alias("blocks"))
-    everywhere = pivots.select("doc_id", "set_id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    dealt = sized.select("doc_id", "set_id", "block").union(everywhere).distinct()
+        texts = cut(texts.hint("merge").join(sized.select("doc_id"), "doc_id").select(texts.columns), "tied-texts")
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     yes, none = F.lit(True).alias("focus"), F.col("doc_id").alias("known")
 
     def confirmed(rows: DataFrame, by: list[str], name: str) -> DataFrame:
-        return cut(rows.hint("merge").join(texts, "doc_id").groupBy(*by).applyInArrow(_block(confirm), "u long, v long"), name)
+        rows = rows.hint("merge").join(texts, "doc_id").select(*by, "known", "focus", *texts.columns)
+        return cut(rows.repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(_blocks(confirm, len(by)), "u long, v long"), name)
 
+    small = confirmed(sized.filter("blocks = 1").select("set_id", "doc_id", none, yes), ["set_id"], "links")
+    small = small.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    large = sized.filter("blocks > 1")
+    if large.isEmpty():
+        return small
+    pivots = large.groupBy("set_id", F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(PIVOTS)).alias("g")).agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(7)), "doc_id", "blocks")).alias("p"))
+    pivots = pivots.select(F.col("p.doc_id").alias("doc_id"), "set_id", F.col("p.blocks").alias("blocks"))
+    everywhere = pivots.select("doc_id", "set_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    dealt = large.select("doc_id", "set_id", "block").union(everywhere).distinct()
     first = confirmed(dealt.select("doc_id", "set_id", "block", none, yes), ["set_id", "block"], "links")
-    parts = components(first)
-    located = cut(large.join(parts, F.col("doc_id") == F.col("node"), "left").select("doc_id", "set_id", F.coalesce("component", "doc_id").alias("part")), "parts")
+    found = components(first)
+    located = cut(large.join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", "set_id", F.coalesce("component", "doc_id").alias("part")), "parts")
+    if pairs:
+        part = lambda c: located.select(F.col("doc_id").alias(c), F.col("part").alias(f"{c}_part"))
+        apart = pairs(large.select("doc_id")).join(part("u"), "u").join(part("v"), "v").filter("u_part <> v_part").select("u", "v", F.explode(F.array("u", "v")).alias("doc_id"))
+        second = confirmed(apart.select("u", "v", "doc_id", none, yes), ["u", "v"], "links")
+        return small.union(components(first.union(second)))
     main = located.groupBy("set_id", "part").agg(F.count(F.lit(1)).alias("c")).groupBy("set_id").agg(F.max(F.struct("c", "part")).alias("m"), F.sum("c").alias("n"))
     main = main.select("set_id", F.col("m.part").alias("main"), F.ceil((F.col("n") - F.col("m.c")) / BLOCK).alias("outs"), F.ceil(F.col("n") / BLOCK).alias("alls")).filter("outs > 0")
     placed = located.join(main, "set_id").withColumn("out", F.col("part") != F.col("main"))
@@ -95,5 +136,4 @@ def linked(ties: DataFrame, texts: DataFrame, confirm: Confirm, further: bool =
     rest = rest.union(placed.select("doc_id", "set_id", "part", "out", F.explode(span("outs")).alias("x"), far.alias("y")))
     rest = rest.groupBy("doc_id", "set_id", "x", "y").agg(F.first("part").alias("known"), F.first("out").alias("focus"))
     second = confirmed(rest.select("doc_id", "set_id", "x", "y", "known", "focus"), ["set_id", "x", "y"], "links")
-
-    return components(first.union(second))
+    return small.union(components(first.union(second)))

@@ -111,12 +111,11 @@ def test_lines(docs, empty, texts):
             if len((n := lines.normalised(line.encode())).split()) >= lines.LEAST_WORDS:
                 spots[n].append((i, p))
     names = sorted(spots)
-    sig = np.concatenate([lines.describe(d, o)[4] for _, _, d, o in lines.chunks(pa.array(names))])
     group = {n: {n} for n in names}
     for a in range(len(names)):
         for b in range(a):
             x, y = names[a], names[b]
-            if int(np.bitwise_count(sig[a] ^ sig[b])) <= lines.RADIUS and lines.edit_distance(x, y) <= 0.2 * max(len(x), len(y)):
+            if lines.edit_distance(x, y) <= 0.2 * max(len(x), len(y)):
                 both = group[x] | group[y]
                 for n in both:
                     group[n] = both
@@ -149,6 +148,20 @@ def test_lines_by_edit_similarity(spark):
     assert {r.doc_id for r in got if r.removed} == {i for i, g in enumerate(group) if i != g} and len(set(group)) < 0.6 * len(rows)
 
 
+def test_lines_of_large_sets(spark, monkeypatch):
+    """Sets of several blocks, hot keys met by one task, repeated and null doc_ids, and columns passed on."""
+    monkeypatch.setattr(lines, "HOT", 8)
+    rng = random.Random(4)
+    stem = [f"word{rng.randrange(900)}" for _ in range(30)]
+    rows = [(i, " ".join(stem[:k] + [f"x{i}"] + stem[k + 1 :]), i) for i in range(300) for k in [rng.randrange(30)]]
+    rows += [(1000, prose(rng, 20), 7)] * 2 + [(1000, "another text\n" + rows[5][1], 8), (None, "no id\nno id", 9), (None, None, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, removed long")
+    got = sorted(((r.doc_id, r.carried, r.kept) for r in lines.dedup_lines(docs, carry=lines.F.col("removed")).collect()), key=str)
+    # a null doc_id comes before all others
+    want = [(i, c, t if i == 0 else "") for i, t, c in rows[:300]] + [(1000, 7, rows[300][1])] * 2 + [(1000, 8, "another text"), (None, 9, "no id"), (None, 10, None)]
+    assert got == sorted(want, key=str)
+
+
 def test_short_lines(spark):
     rows = [(1, "Ietzte.\nfirst of these\n\n--"), (2, "ietzte\nAll rights reserved.\n\n--"), (3, "all rights reserved\nyes"), (4, "Yes!\nno")]
     got = {r.doc_id: r.removed for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
