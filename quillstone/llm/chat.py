@@ -42,10 +42,18 @@ def _tokens(part: Column) -> Column:
 
 
 def visit(parts: Column) -> tuple[Column, Column]:
-    """(body, attachments) of an array of parts struct<kind, text, ref, units>: texts escaped, other parts as ordered placeholders <|kind|>."""
-    body = F.array_join(F.transform(parts, lambda p: F.when(_is_media(p), F.concat(F.lit("<|"), p["kind"], F.lit("|>"))).otherwise(escape(F.coalesce(p["text"], F.lit(""))))), "")
+    """(body, attachments) of an array of parts struct<kind, text, ref, units>: other parts than text as ordered placeholders
+    <|kind|>, and between them texts, joined before they are escaped, so that no control string arises where two meet."""
+    spots = F.filter(F.transform(parts, lambda p, i: F.when(_is_media(p), i)), lambda i: i.isNotNull())
+    starts, ends = F.concat(F.array(F.lit(-1)), spots), F.concat(spots, F.array(F.size(parts)))
+
+    def run(at: Column, k: Column) -> Column:
+        texts = F.transform(F.slice(parts, at + 2, F.get(ends, k) - at - 1), lambda p: F.coalesce(p["text"], F.lit("")))
+        before = F.when(at >= 0, F.concat(F.lit("<|"), F.get(parts, at)["kind"], F.lit("|>"))).otherwise("")
+        return F.concat(before, escape(F.array_join(texts, "")))
+
     media = F.transform(F.filter(parts, _is_media), lambda p: F.struct(p["kind"].alias("kind"), p["ref"].alias("ref"), _tokens(p).alias("tokens")))
-    return body, media
+    return F.array_join(F.transform(starts, run), ""), media
 
 
 def format_chat(turns: DataFrame) -> DataFrame:
@@ -82,10 +90,15 @@ def read_turns(formatted: Column) -> Column:
     return F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), one)
 
 
+def loss_text() -> Column:
+    """All text under the loss mask, each assistant text unescaped by itself."""
+    return F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HOSTILE).alias("text"))
-    out = format_chat(rows.union(probe)).select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"), unescape(F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: s["text"]), "")).alias("loss"))
+    out = format_chat(rows.union(probe)).select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"), loss_text().alias("loss"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
