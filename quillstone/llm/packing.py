@@ -22,11 +22,14 @@ CAPACITY = 4096
 END_ID = 2
 #: A piece may stay whole if it leaves at most this part of its slot empty; else it is cut to the next smaller slot.
 SLACK = 128
-CACHED_WORDS = 600_000
+#: Words, and pieces of words, whose ids a task keeps; they go with the task.
+CACHED_WORDS = 200_000
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, slots int, part int, k long"
 _cache: dict[int, bytes] = {}
 _kept: dict[str, bytes] = {}
 _tokenizers: dict[str, Tokenizer] = {}
+#: What each tokenizer knows besides its vocabulary; words that hold it go through the tokenizer as they are.
+_added: dict[str, regex.Pattern] = {}
 
 
 def slots_of(length: int, capacity: int = CAPACITY) -> int:
@@ -61,11 +64,15 @@ _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 _ODD_SPACE = regex.compile(r"[^\S\n]|[\x1c-\x1f]")
 
 
-def _encode(words: list[bytes], tokenizer: Tokenizer) -> list[bytes]:
+def _encode(words: list[bytes], tokenizer: Tokenizer, added: regex.Pattern) -> list[bytes]:
     """Ids of each word. The words are normalised together and looked up piece by piece; the pieces' ids are kept.
     A batch that holds other white space than the words' own ends goes through the tokenizer as it is."""
     texts = [w.decode("utf-8", "replace") for w in words]
     joined = "\n".join(texts)
+    if added.search(joined):
+        odd = [bool(added.search(x)) for x in texts]
+        plain = iter(_encode([w for w, o in zip(words, odd, strict=True) if not o], tokenizer, added))
+        return [np.array(tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() if o else next(plain) for x, o in zip(texts, odd, strict=True)]
     parts = tokenizer.normalizer.normalize_str(joined).split(" ") if texts and not _ODD_SPACE.search(joined) else []
     if len(parts) != len(texts):
         return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -87,7 +94,7 @@ def token_ids(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndar
     joins what it separates, so distinct words are encoded once and kept by hash, for as long as the worker has room."""
     if path not in _tokenizers:
         _tokenizers[path] = Tokenizer.from_file(path)
-        _tokenizers[path].encode_special_tokens = True
+        _added[path] = regex.compile("|".join(regex.escape(t.content) for t in _tokenizers[path].get_added_tokens_decoder().values()) or r"(?!)", regex.IGNORECASE)
         _cache.clear()
         _kept.clear()
     start, end = word_bounds(data, offsets)
@@ -100,7 +107,7 @@ def token_ids(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndar
         keys = key.tolist()
         new = [i for i, h in enumerate(keys) if h not in _cache]
         raw = data.tobytes()
-        _cache.update(zip([keys[i] for i in new], _encode([raw[start[first[i]] : end[first[i]]] for i in new], _tokenizers[path]), strict=True))
+        _cache.update(zip([keys[i] for i in new], _encode([raw[start[first[i]] : end[first[i]]] for i in new], _tokenizers[path], _added[path]), strict=True))
         kept = [_cache[h] for h in keys]
         width = np.fromiter(map(len, kept), np.int64, len(kept)) // 4
         flat, at = np.frombuffer(b"".join(kept), "<u4"), np.concatenate([[0], np.cumsum(width)])
@@ -121,21 +128,25 @@ def token_ids(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndar
 def _cut_documents(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, counts = TaskContext.get().partitionId(), {}
-        for batch in batches:
-            doc_ids = batch.column(0).to_pylist()
-            for lo, hi, data, offsets in chunks(batch.column(1)):
-                ids, rows = token_ids(data, offsets, path)
-                out = []
-                for i in range(hi - lo):
-                    at, total = int(rows[i]), int(rows[i + 1] - rows[i])
-                    start = 0
-                    for n in pieces_of(total, capacity):
-                        cls = slots_of(n, capacity)
-                        out.append((doc_ids[lo + i], start, n, zlib.crc32(ids[at + start : at + start + n]), total, cls, part, counts.get(cls, 0)))
-                        counts[cls] = counts.get(cls, 0) + 1
-                        start += n
-                kinds = (pa.int64(),) * 5 + (pa.int32(),) * 2 + (pa.int64(),)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[f.split()[0] for f in _PIECES.split(", ")])
+        try:
+            for batch in batches:
+                doc_ids = batch.column(0).to_pylist()
+                for lo, hi, data, offsets in chunks(batch.column(1)):
+                    ids, rows = token_ids(data, offsets, path)
+                    out = []
+                    for i in range(hi - lo):
+                        at, total = int(rows[i]), int(rows[i + 1] - rows[i])
+                        start = 0
+                        for n in pieces_of(total, capacity):
+                            cls = slots_of(n, capacity)
+                            out.append((doc_ids[lo + i], start, n, zlib.crc32(ids[at + start : at + start + n]), total, cls, part, counts.get(cls, 0)))
+                            counts[cls] = counts.get(cls, 0) + 1
+                            start += n
+                    kinds = (pa.int64(),) * 5 + (pa.int32(),) * 2 + (pa.int64(),)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[f.split()[0] for f in _PIECES.split(", ")])
+        finally:
+            _cache.clear()
+            _kept.clear()
 
     return run
 
