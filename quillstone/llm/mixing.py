@@ -32,13 +32,18 @@ def targets(sizes: dict, weights: dict, limit: int = LIMIT) -> dict:
 def fit(counts: list[tuple[int, int]], budget: int, cap: int = KNAPSACK) -> dict[int, int]:
     """How many documents of each length to take, their words summing to budget as nearly as they can from below.
 
-    counts has (length, documents). Each length first gets its share of documents rounded down, then longest
-    lengths are added while more than cap words are open, and the rest is an exact bounded knapsack.
+    counts has (length, documents). Each length first gets its share of documents rounded down. Longest lengths are
+    added while more than cap words are open; where fewer are, shares are given back until about cap words are. The
+    rest is an exact bounded knapsack, so a budget up to cap is met as nearly as any choice can; beyond it the sum
+    is the best that the shares kept allow, in practice the budget itself.
     """
     total = sum(n * c for n, c in counts)
     budget = max(0, min(budget, total))
-    take = {n: c * budget // total if total else 0 for n, c in counts}
+    take = {n: c * budget // total if total and budget > cap else 0 for n, c in counts}
     left = budget - sum(n * k for n, k in take.items())
+    for kinds, n in enumerate(sorted(take, reverse=True)):
+        back = min(take[n], max(0, cap - left) // (n * (len(take) - kinds)) if n else 0)
+        take[n], left = take[n] - back, left + n * back
     free = {n: c - take[n] for n, c in counts}
     for n in sorted(free, reverse=True):
         if left <= cap:
