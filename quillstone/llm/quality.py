@@ -6,8 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .kernels import U, Rolling, chunks, mix, word_bounds
 from .storage import table
@@ -19,7 +20,7 @@ SEED = 29
 #: A document goes if its probability of being bad is above this.
 REJECT = 0.5
 ABSTAIN, BAD, GOOD = 0, 1, 2
-LABELLERS = ("symbols", "endings", "capitals", "exclaims", "columns", "loose_marks", "repeats", "same_lines", "letters", "case", "sentences", "echoes")
+LABELLERS = ("symbols", "endings", "capitals", "exclaims", "columns", "loose_marks", "repeats", "same_lines", "letters", "sentences", "echoes")
 #: Labellers are taken to be better than chance and never certain.
 ACCURACY = (0.8, 0.99)
 _SYMBOL, _UPPER, _LETTER, _EXCLAIM, _PIPE, _STOP = (np.zeros(256, np.int64) for _ in range(6))
@@ -43,8 +44,8 @@ def _distinct(keys: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(r[new], minlength=n)
 
 
-def describe(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(votes, features) of rows. votes: one of ABSTAIN, BAD, GOOD for each labeller; features: DIMS hashed word-shape shares."""
+def describe(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(votes, features, words) of rows. votes: one of ABSTAIN, BAD, GOOD for each labeller; features: DIMS hashed word-shape shares."""
     n = len(offsets) - 1
 
     def count(t: np.ndarray) -> np.ndarray:
@@ -87,7 +88,6 @@ def describe(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         vote(long_ & (variety < 0.2)),
         vote((lines >= 4) & (same > 0.5)),
         vote(dense < 0.8, (dense > 0.93) & (variety > 0.3)),
-        vote(capitals > 0.6),
         vote(long_ & (stops < 0.02), (stops > 0.03) & (stops < 0.4) & (dense > 0.9) & (variety > 0.3)),
         vote(long_ & (echo > 0.3)),
     ], 1)
@@ -105,7 +105,7 @@ def describe(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         for k, x in enumerate((variety, same)):
             slot = (mix((np.minimum(x, 0.999) * 10).astype(U) + U(1000 * (k + 1))) % U(DIMS)).astype(np.int64)
             features[np.arange(n), slot] += 1
-    return votes, features
+    return votes, features, words
 
 
 def fit_labellers(votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray]:
@@ -147,28 +147,35 @@ def fit_scorer(features: np.ndarray, bad: np.ndarray, rounds: int = 200, rate: f
 _POWERS = 3 ** np.arange(len(LABELLERS))
 
 
-def _batched(make, names: list[str]):
+BLANK = -1
+
+
+def _batched(make, names: list[str], pass_on: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in chunks(batch.column(1), 1 << 20):
-                ids = batch.column(0).slice(lo, hi - lo).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([ids, *make(*describe(data, offsets))], names=["doc_id", *names])
+            for lo, hi, data, offsets in chunks(batch.column(1)):
+                same = [batch.column(k).slice(lo, hi - lo) for k in (range(batch.num_columns) if pass_on else (0,))]
+                yield pa.RecordBatch.from_arrays([*same, *make(*describe(data, offsets))], names=[*batch.schema.names[: len(same)], *names])
 
     return run
 
 
-def _patterns(votes: np.ndarray, features: np.ndarray) -> list[pa.Array]:
-    return [pa.array((votes * _POWERS).sum(1))]
+def _pattern(votes: np.ndarray, words: np.ndarray) -> pa.Array:
+    return pa.array(np.where(words > 0, (votes * _POWERS).sum(1), BLANK))
+
+
+def _patterns(votes: np.ndarray, features: np.ndarray, words: np.ndarray) -> list[pa.Array]:
+    return [_pattern(votes, words)]
 
 
-def _examples(votes: np.ndarray, features: np.ndarray) -> list[pa.Array]:
-    return [pa.array((votes * _POWERS).sum(1)), pa.array([x.tobytes() for x in features], pa.binary())]
+def _examples(votes: np.ndarray, features: np.ndarray, words: np.ndarray) -> list[pa.Array]:
+    return [_pattern(votes, words), pa.array([x.tobytes() for x in features], pa.binary())]
 
 
 def _scores(weights: np.ndarray):
-    def make(votes: np.ndarray, features: np.ndarray) -> list[pa.Array]:
+    def make(votes: np.ndarray, features: np.ndarray, words: np.ndarray) -> list[pa.Array]:
         p = 1 / (1 + np.exp(-np.clip(np.sqrt(features) @ weights[:-1] + weights[-1], -50, 50)))
-        return [pa.array((votes * _POWERS).sum(1)), pa.array(p)]
+        return [pa.array(p, mask=words == 0)]
 
     return make
 
@@ -177,29 +184,33 @@ def _unpack(patterns: np.ndarray) -> np.ndarray:
     return patterns[:, None] // _POWERS % 3
 
 
-def classify(docs: DataFrame, sample: int = SAMPLE, reject: float = REJECT) -> DataFrame:
-    """One row per document: doc_id, p_bad double, kept boolean.
+def classify(docs: DataFrame, sample: int = SAMPLE, reject: float = REJECT, carry: Column | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, p_bad double, kept boolean; with carry, any expression over docs, also text and carried.
 
     docs needs doc_id and text; other columns are ignored. Every document votes for the labellers' accuracies
-    (counts of vote patterns, of which there are at most 3 ** 12, reach the driver); the scorer is fitted on at
-    most sample documents. Null, empty and blank texts get no votes and are kept with p_bad null. Equal texts
-    score the same; an empty table gives an empty result.
+    (counts of vote patterns, of which there are at most 3 ** 11, reach the driver); the scorer is fitted on at
+    most sample documents that some labeller speaks on, and scores all that have words. Null, empty and blank texts are kept with p_bad null. Equal texts
+    score the same, whatever their doc_id; rows may share one or have none. An empty table gives an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = docs.mapInArrow(_batched(_patterns, ["pattern"]), "doc_id long, pattern long").groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).orderBy("pattern").collect()
+    rest = [] if carry is None else [carry.alias("carried")]
+    full = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *rest)
+    docs = full.select("doc_id", "text")
+    seen = docs.mapInArrow(_batched(_patterns, ["pattern"]), "doc_id long, pattern long").filter(F.col("pattern") != BLANK).groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).orderBy("pattern").collect()
     votes, counts = _unpack(np.array([r.pattern for r in seen], np.int64)), np.array([r.n for r in seen], float)
     prior, accuracy = fit_labellers(votes, counts)
     h = F.xxhash64("doc_id", F.lit(SEED))
     edge = docs.select(h.alias("h")).orderBy("h").limit(sample).agg(F.max("h").alias("edge")).first().edge
     few = docs.filter(h <= F.lit(edge)).mapInArrow(_batched(_examples, ["pattern", "features"]), "doc_id long, pattern long, features binary")
-    rows = few.limit(sample).collect()
+    rows = few.filter(F.col("pattern") != BLANK).limit(sample).collect()
     some = _unpack(np.array([r.pattern for r in rows], np.int64))
     voted = (some != ABSTAIN).any(1)
     x = np.stack([np.frombuffer(r.features, np.float32) for r in rows]) if rows else np.zeros((0, DIMS), np.float32)
     weights = fit_scorer(x[voted], posterior(some, prior, accuracy)[voted])
-    scored = docs.mapInArrow(_batched(_scores(weights), ["pattern", "p"]), "doc_id long, pattern long, p double")
-    p = F.when(F.col("pattern") > 0, F.col("p"))
-    return scored.select("doc_id", p.alias("p_bad"), (F.coalesce(p, F.lit(0.0)) <= reject).alias("kept"))
+    if carry is None:
+        scored = docs.mapInArrow(_batched(_scores(weights), ["p_bad"]), "doc_id long, p_bad double")
+    else:
+        scored = full.mapInArrow(_batched(_scores(weights), ["p_bad"], True), StructType([*full.schema.fields, StructField("p_bad", DoubleType())]))
+    return scored.withColumn("kept", F.coalesce("p_bad", F.lit(0.0)) <= reject)
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
