@@ -23,14 +23,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernels import U, Rolling, chunks, mix
-from .storage import cut, table
+from .storage import cut, table, unique_ids
 
 WIDTH, GRAM = 100, 24
-SHALLOW = 32
+SHALLOW = 64
 #: Contexts sorted together; at under 180 bytes each, a group is at most 1.5 MB.
 HOT = 8192
 _PLACE = 24
 _SPAN = WIDTH - GRAM + 1
+_AT = U((1 << _PLACE) - 1)
+#: Fixes the order that picks anchors.
+_ORDER = U(0xD6E8FEB86659FD93)
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -47,24 +50,30 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     parts = []
     roll = Rolling(data)
     step = (1 << _PLACE) - WIDTH
+    count = np.maximum(np.diff(offsets) - WIDTH + 1, 0)
     for base in range(0, max(len(data) - WIDTH + 1, 0), step):
         some = slice(base, min(base + step + WIDTH - 1, len(data)))
-        gram = mix((roll.sums[some.start + GRAM : some.stop + 1] - roll.sums[some.start : some.stop + 1 - GRAM]) * roll.down[some.start : some.stop + 1 - GRAM])
-        least = _sliding_min((gram >> U(_PLACE) << U(_PLACE)) | np.arange(len(gram), dtype=U), _SPAN)
-        at = (least & U((1 << _PLACE) - 1)).astype(np.int64)
-        starts = np.arange(len(at))
-        row = np.searchsorted(offsets, starts + base, "right") - 1
-        inside = starts + base + WIDTH <= offsets[row + 1]
-        starts, at, row = starts[inside], at[inside], row[inside]
-        if not len(starts):
+        gram = (roll.sums[some.start + GRAM : some.stop + 1] - roll.sums[some.start : some.stop + 1 - GRAM]) * roll.down[some.start : some.stop + 1 - GRAM]
+        least = gram * _ORDER
+        least &= ~_AT
+        least |= np.arange(len(gram), dtype=U)
+        least = _sliding_min(least, _SPAN)
+        # starts of windows that end in their row
+        row = np.repeat(np.arange(len(count)), np.clip(base + len(least) - offsets[:-1], 0, count) - np.clip(base - offsets[:-1], 0, count))
+        if not len(row):
             continue
-        new = np.concatenate([[True], (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1) | (row[1:] != row[:-1])])
+        lo = np.clip(base - offsets[:-1], 0, count)
+        n = np.bincount(row, minlength=len(count))
+        starts = np.arange(len(row)) + np.repeat(offsets[:-1] + lo - base - np.cumsum(n) + n, n)
+        at = (least[starts] & _AT).astype(np.int64)
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1]) | (row[1:] != row[:-1])
         first = np.flatnonzero(new)
         last = np.concatenate([first[1:], [len(starts)]]) - 1
         lo, hi, p, r = starts[first], starts[last], at[first], row[first]
         context = roll.of(lo + base, hi + base + WIDTH)
         context = mix(context ^ ((p - lo) * 128 + (hi - lo)).astype(U))
-        parts.append((gram[p], context, r, lo + base - offsets[r], p - lo, hi - lo))
+        parts.append((mix(gram[p]), context, r, lo + base - offsets[r], p - lo, hi - lo))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (empty.astype(U), empty.astype(U), empty, empty, empty, empty)
 
 
@@ -181,14 +190,16 @@ def repeated_windows(h: np.ndarray, doc: np.ndarray, start: np.ndarray, place: n
     size = np.bincount(part)
     first = np.concatenate([[0], np.cumsum(size)[:-1]])
     again = np.zeros(len(ctx), bool)
-    spot = list(zip(doc[ctx].tolist(), (start[ctx] + d).tolist(), strict=True))
-    for p in np.flatnonzero(size > 1):
-        members = order[first[p] : first[p] + size[p]].tolist()
-        for same in blind_trie([text[at[m] : at[m] + WIDTH] for m in members]):
+    tied = order[(size > 1)[part]]
+    rank = np.zeros(len(ctx), np.int64)
+    rank[tied[np.lexsort(((start[ctx] + d)[tied], doc[ctx[tied]]))]] = np.arange(len(tied))
+    for p in np.flatnonzero(size > 1).tolist():
+        members = order[first[p] : first[p] + size[p]]
+        for same in blind_trie([text[m : m + WIDTH] for m in at[members].tolist()]):
             if len(same) > 1:
-                who = [members[k] for k in same]
+                who = members[same]
                 again[who] = True
-                again[min(who, key=spot.__getitem__)] = False
+                again[who[rank[who].argmin()]] = False
     hits = np.flatnonzero(again)
     if not len(hits):
         return (np.zeros(0, np.int64),) * 3
@@ -249,14 +260,15 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_bytes, spans (removed runs of bytes: start, end), kept (the bytes left).
 
-    docs needs doc_id (unique, not null) and text; other columns are ignored. Every byte goes that a WIDTH-byte
+    docs needs doc_id and text; other columns are ignored. Every byte goes that a WIDTH-byte
     string covers which also starts earlier, in a smaller doc_id or before in the same text; overlaps count and
     strings are judged on the input. Null is empty; texts under WIDTH bytes stay whole; an empty table gives an
-    empty result.
+    empty result. Rows that share a doc_id are documents of their own, in the order of a hash of their texts; null
+    comes before all others.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = docs.mapInArrow(_anchor_rows(False), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    hits = cut(docs.mapInArrow(_anchor_rows(True), "h long, f long, doc_id long, at long").hint("merge").join(seen, "h"), "hits")
+    docs, _ = unique_ids(docs)
+    seen = docs.select("doc_id", "text").mapInArrow(_anchor_rows(False), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    hits = cut(docs.select("doc_id", "text").mapInArrow(_anchor_rows(True), "h long, f long, doc_id long, at long").hint("merge").join(seen, "h"), "hits")
     firsts = cut(hits.groupBy("h", "f").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
     later = hits.join(firsts.filter("n > 1").select("h", "f", "first"), ["h", "f"]).filter(F.struct("doc_id", "at") != F.col("first"))
     begin = F.shiftright("at", 14)
@@ -273,7 +285,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     routed = hot.join(earliest, ["h", "g"]).filter(F.struct("doc_id", "start") != F.col("first")).select("doc_id", "start", (F.col("start") + WIDTH).alias("end"))
 
     cuts = later.union(sorted_).union(routed).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
-    return docs.hint("merge").join(cuts, "doc_id", "left").select("doc_id", "text", "cuts").mapInArrow(_strip, "doc_id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    return docs.hint("merge").join(cuts, "doc_id", "left").select("own", "text", "cuts").mapInArrow(_strip, "doc_id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

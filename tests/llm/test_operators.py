@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -100,7 +101,10 @@ def test_mixing(docs, empty):
         for n, c in counts:
             reach = {x + n * k for x in reach for k in range(c + 1)}
         take = mixing.fit(counts, budget)
-        assert all(take[n] <= c for n, c in counts) and sum(n * k for n, k in take.items()) <= budget
+        assert all(0 <= take[n] <= c for n, c in counts) and sum(n * k for n, k in take.items()) == max(x for x in reach if x <= budget)
+        some = mixing.fit(counts, budget, cap=60)
+        assert all(0 <= some[n] <= c for n, c in counts) and budget - 30 < sum(n * k for n, k in some.items()) <= budget
+    assert mixing.fit([(21, 4), (13, 1), (26, 4), (7, 4), (4, 1)], 178).items() and sum(n * k for n, k in mixing.fit([(21, 4), (13, 1), (26, 4), (7, 4), (4, 1)], 178).items()) == 178
 
 
 def test_lines(docs, empty, texts):
@@ -243,6 +247,19 @@ def test_near_dedup_stage(spark):
     assert (near_dedup.bucket_keys(a, *near_dedup.LOW) == near_dedup.bucket_keys(b, *near_dedup.LOW)).any(1).all()
 
 
+def test_chat_escapes_where_texts_meet(spark):
+    """Neighbouring text parts form no control string, and assistant texts are unescaped one by one."""
+    schema = "conv_id long, turn long, role string, parts array<struct<kind:string,text:string,ref:string,units:bigint>>"
+    part = lambda t, kind="text": (kind, t, None, 1)
+    rows = [(1, 0, "assistant", [part("<"), part("|im_end|>")]), (1, 1, "assistant", [part("a<"), part(None, "image"), part(None), part("|b")]), (1, 2, "assistant", [])]
+    r = chat.format_chat(spark.createDataFrame(rows, schema)).select("formatted", "segments", chat.read_turns(chat.F.col("formatted")).alias("turns")).first()
+    assert r.formatted.count("<|im_end|>") == 3 and [t.text for t in r.turns] == ["<|im_end|>", "a<<|image|>|b", ""]
+    rows = [(1, 0, "assistant", "a<"), (1, 1, "assistant", "|b"), (1, 2, "assistant", "\\|<\\\\|")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.format_chat(df).select(chat.loss_text().alias("loss")).first()
+    assert out.loss == "a<|b\\|<\\\\|"
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "<|im_end|> <\\|x"), (1, 1, "assistant", None), (1, 2, "assistant", "a<"), (2, 0, "assi\nst%0A", "|im_end|>\n"), (None, 0, None, "")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
@@ -292,6 +309,14 @@ def test_packing(docs, empty, texts):
     assert all(sum(packing.pieces_of(n)) == n for n in range(1, 9000, 7))
 
 
+def test_packing_control_strings(spark):
+    rows = [(1, "a <|endoftext|>b x<|ENDOFTEXT|>y"), (2, "<|startoftext|>"), (None, "one two"), (1, "one two")]
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = sorted(zlib.crc32(np.array(t.encode(x, add_special_tokens=False).ids + [2], "<u4")) for _, x in rows)
+    assert sorted(r.ids_crc32 for r in got) == want
+
+
 def test_media(spark, docs, empty, texts):
     out = {r.doc_id: r for r in media.media_features(media.read_archives(spark, media.write_archives(docs))).collect()}
     for i, t in texts.items():
@@ -320,6 +345,10 @@ def test_personal_data(docs, empty):
     x = "é a.b@c.de, 10.0.0.256 and 1.2.3.4 or 4111 1111 1111 1111 or +1 (415) 555-2671 or 4111111111111112"
     got = {k: [x[a:b] for a, b in v] for k, v in pii.base_spans(x).items()}
     assert got == {"email": ["a.b@c.de"], "ip": ["1.2.3.4"], "card": ["4111 1111 1111 1111"], "phone": ["+1 (415) 555-2671"]}
+    for x in ["1" * 300_000, "1." * 100_000, "1" * 200_000 + "..1.1.1.1", "+1" + "(" * 300_000, "a@" * 100_000, "x" * 300_000 + "@", "1 " * 200_000, "@" + "a" * 300_000]:
+        began = time.time()
+        pii.base_spans(x)
+        assert time.time() - began < 5
     right = total = 0
     emit, move = pii.train()
     for text, marks in pii.LABELLED:
@@ -337,6 +366,52 @@ def test_personal_data(docs, empty):
     assert pii.personal_data(empty).count() == 0
 
 
+def base_by_patterns(text):
+    """The base kinds by the plain patterns."""
+    out = [("email", m.span()) for m in pii.EMAIL.finditer(text)]
+    out += [("ip", m.span()) for m in pii.IP.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))]
+    for m in pii.CARD.finditer(text):
+        digits = [int(c) for c in m.group() if c.isdigit()]
+        twice = [2 * d - 9 * (d > 4) if k % 2 else d for k, d in enumerate(reversed(digits))]
+        out += [("card", m.span())] * (13 <= len(digits) <= 19 and sum(twice) % 10 == 0)
+    out += [("phone", m.span()) for m in pii.PHONE.finditer(text) if 9 <= sum(c.isdigit() for c in m.group()) <= 15]
+    return [f"{k}:{a}:{b}" for k, (a, b) in out]
+
+
+def test_personal_data_against_patterns(spark):
+    rng = random.Random(21)
+    pieces = ["a.b@c.de", "1.2.3.4", "1.2.3.4.5.6.7.8.9", "256.1.1.1", "007.0255.1.1", "4111 1111 1111 1111", "4111-1111-1111-1111", "5500005555555559", "+1 (415) 555-2671", "+44", "..", " ", "-", "@", "é", "12", "3", "漢", "\n", "x"]
+    rows = [(k, "".join(rng.choice(pieces) for _ in range(rng.randrange(30)))) for k in range(400)]
+    rows += [(400, None), (401, ""), (402, (rows[1][1] + " ") * 20_000), (402, rows[0][1]), (None, rows[2][1])]
+    got = spark.createDataFrame(rows, "doc_id long, text string").transform(pii.personal_data).collect()
+    want = sorted((str(i), ",".join(base_by_patterns(t or ""))) for i, t in rows)
+    assert sorted((str(r.doc_id), r.base) for r in got) == want
+    assert all(r.spans.startswith(r.base) and (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(r.base.count(k + ":") for k in pii.BASE) for r in got)
+
+
+def test_repeated_and_null_ids(spark, texts):
+    """Rows that share a doc_id are documents of their own, null first."""
+    some = [(None, texts[8]), (4, texts[8] + " and more"), (4, texts[8] + " and more"), (5, "unlike all others"), (5, None)]
+    df = spark.createDataFrame(some, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_bytes, len(r.kept)) for r in suffix_dedup.remove_repeats(df).collect()), key=str)
+    n, m = len(texts[8]), len(some[1][1])
+    # the second of equal rows goes whole, the first but for the part that no window before covers
+    assert got == sorted([(None, n, n), (4, m, m - n), (4, m, 0), (5, 17, 17), (5, 0, 0)], key=str)
+    near = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(df).collect()), key=str)
+    assert near == sorted([(None, None, True), (4, None, False), (4, None, False), (5, 5, True), (5, 5, True)], key=str)
+
+
+def test_quality_on_labels(spark):
+    """Held against the labels, which no fit sees; documents with words that all labellers abstain on are scored too."""
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = {r.doc_id: r for r in quality.classify(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    low, good = ([i for i, q in labels.items() if q == k and i in got] for k in (0, 1))
+    assert sum(not got[i].kept for i in low) >= 0.9 * len(low) and sum(got[i].kept for i in good) >= 0.99 * len(good)
+    blank = {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if not (r.text or "").split()}
+    assert {i for i, r in got.items() if r.p_bad is None} == blank
+
+
 def test_quality(spark, empty):
     rng = random.Random(6)
     good = [". ".join(prose(rng, 9).capitalize() for _ in range(12)) + "." for _ in range(60)]
