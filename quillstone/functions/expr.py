@@ -27,7 +27,9 @@ def numbers(text: Column) -> Column:
 
 def has_any(text: Column, words: list[str]) -> Column:
     """Whether one of the words is a part of text; words need not stand alone, and text must be in lower case for lower-case words to match."""
-    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(w)) for w in dict.fromkeys(words)))
+    # a word that holds another one says nothing more
+    least = [w for w in dict.fromkeys(words) if not any(v != w and v in w for v in words)]
+    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(w)) for w in sorted(least, key=len)))
 
 
 def confidence(ocr: Column, match: float | Column, place: float | Column = 1.0) -> Column:
@@ -94,9 +96,20 @@ def first_word(text: Column) -> Column:
     return F.get(F.split(strip(F.lower(text)), r"\s+"), F.lit(0))
 
 
+# Language names and the codes of the two kinds of engines.
 LANGUAGES = {"eng": "en", "english": "en", "hin": "hi", "hindi": "hi", "guj": "gu", "gujarati": "gu"}
 
 
+LONG_LANGUAGES = {"eng": "eng", "english": "eng", "en": "eng", "hin": "hin", "hindi": "hin", "hi": "hin", "guj": "guj", "gujarati": "guj", "gu": "guj"}
+
+
+def language_list(names: Column) -> Column:
+    """Three-letter codes of an array of language names, each once and sorted, joined by +; eng for unknown ones and for none."""
+    known = F.create_map(*(F.lit(x) for kv in LONG_LANGUAGES.items() for x in kv))
+    codes = F.array_sort(F.array_distinct(F.transform(names, lambda n: F.coalesce(F.try_element_at(known, F.lower(n)), F.lit("eng")))))
+    return F.when(F.coalesce(F.size(names), F.lit(0)) > 0, F.array_join(codes, "+")).otherwise("eng")
+
+
 def language_code(name: Column) -> Column:
     """Two-letter code of a language name or three-letter code; en if unknown."""
     return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in LANGUAGES.items() for x in kv)), F.lower(name)), F.lit("en"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 
@@ -166,15 +167,16 @@ def shapes(mask: np.ndarray) -> list[dict]:
         area = max(float(solid.sum()) - border / 2 - 1, 0.0)
         w, h = box[2] - box[0], box[3] - box[1]
         steps = border * (1 + (np.sqrt(2) - 1) * min(1.0, max(0.0, 1 - area / max(w * h, 1)) * 2))
-        hull = _hull_area(x, y)
-        out.append({"box": box, "area": area, "perimeter": float(steps), "aspect": w / h, "circularity": float(min(4 * np.pi * area / steps**2, 1.0)) if steps else 0.0, "solidity": min(area / hull, 1.0) if hull else 0.0})
+        around = _hull_area(x, y)
+        out.append({"box": box, "area": area, "perimeter": float(steps), "aspect": w / h, "circularity": float(min(4 * np.pi * area / steps**2, 1.0)) if steps else 0.0, "solidity": min(area / around, 1.0) if around else 0.0, "extent": area / (w * h)})
     return out
 
 
-def _hull_area(x: np.ndarray, y: np.ndarray) -> float:
+def hull(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """Corners of the convex hull in turn; none of less than three points."""
     points = sorted(set(zip(x.tolist(), y.tolist(), strict=True)))
     if len(points) < 3:
-        return 0.0
+        return []
 
     def half(ps):
         out = []
@@ -184,41 +186,206 @@ def _hull_area(x: np.ndarray, y: np.ndarray) -> float:
             out.append(p)
         return out[:-1]
 
-    ring = half(points) + half(points[::-1])
+    return half(points) + half(points[::-1])
+
+
+def _hull_area(x: np.ndarray, y: np.ndarray) -> float:
+    ring = hull(x, y)
     return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1], strict=True))) / 2
 
 
 def ink(image: np.ndarray, size: int = 11, offset: float = 2.0) -> np.ndarray:
-    """Pixels darker than the mean around them by more than offset."""
+    """Pixels darker than the Gaussian mean around them by more than offset."""
+    sigma = 0.3 * ((size - 1) * 0.5 - 1) + 0.8
+    kernel = np.exp(-((np.arange(size) - size // 2) ** 2) / (2 * sigma**2))
+    kernel /= kernel.sum()
     g = gray(image).astype(float)
-    r = size // 2
-    sums = np.pad(np.pad(g, r, mode="edge").cumsum(0).cumsum(1), ((1, 0), (1, 0)))
-    mean = (sums[size:, size:] - sums[:-size, size:] - sums[size:, :-size] + sums[:-size, :-size]) / size**2
-    return g < mean - offset
-
-
-def marks(image: np.ndarray, low: float = 0.001, high: float = 0.05) -> list[dict]:
-    """Ticks, circles and squares whose area is a small part of the image: kind, confidence, box."""
-    out = []
-    for s in shapes(ink(blur(gray(image), 5))):
-        if not low * image.shape[0] * image.shape[1] <= s["area"] <= high * image.shape[0] * image.shape[1]:
-            continue
-        kind, sure = ("circle", 0.75) if s["circularity"] > 0.6 and 0.7 < s["aspect"] < 1.4 and s["solidity"] > 0.9 else ("square", 0.65) if 0.8 < s["aspect"] < 1.2 and s["solidity"] > 0.9 else ("tick", 0.85) if s["solidity"] < 0.6 else ("unknown", 0.5)
-        out.append({"kind": kind, "confidence": sure, "box": s["box"]})
-    return out
+    mean = g
+    for axis in (0, 1):
+        padded = np.pad(mean, [(size // 2, size // 2) if a == axis else (0, 0) for a in (0, 1)], mode="edge")
+        mean = sum(k * np.take(padded, range(i, i + g.shape[axis]), axis) for i, k in enumerate(kernel))
+    return g <= np.rint(mean) - offset
+
+
+ABSENT = {"present": False, "kind": None, "confidence": 0.9, "box": None}
+
+
+def _is_tick(s: dict) -> bool:
+    return 0.3 < s["aspect"] < 3 and s["solidity"] > 0.3 and s["circularity"] < 0.5
+
+
+# What a shape is taken for and how surely, by three sets of rules; the first that holds counts. share is the shape's area in the image.
+MARK_RULES = {
+    "wide": [
+        ("tick", 0.85, _is_tick),
+        ("cross", 0.80, lambda s: 0.5 < s["aspect"] < 2 and s["circularity"] < 0.4),
+        ("circle", 0.75, lambda s: 0.7 < s["circularity"] < 1 or (0.7 < s["aspect"] < 1.4 and s["circularity"] > 0.6)),
+        ("tick", 0.70, lambda s: s["share"] < 0.01),
+        ("square", 0.65, lambda s: True),
+    ],
+    "plain": [("tick", 0.85, _is_tick), ("circle", 0.75, lambda s: s["circularity"] > 0.6), ("square", 0.65, lambda s: True)],
+    "scored": [
+        ("tick", 0.85, _is_tick),
+        ("cross", 0.80, lambda s: 0.4 < s["aspect"] < 2.5 and s["circularity"] < 0.4),
+        ("circle", 0.75, lambda s: s["circularity"] > 0.6 and 0.5 < s["aspect"] < 2),
+        ("small_mark", 0.65, lambda s: s["area"] < 1000),
+        ("unknown", 0.50, lambda s: True),
+    ],
+}
+
+
+def mark_kind(shape: dict, rules: str = "scored") -> tuple[str, float]:
+    """Kind and confidence of a shape; the scored rules add 0.1 for a solid one and 0.05 for one far from round, up to 0.95."""
+    kind, sure = next((k, c) for k, c, holds in MARK_RULES[rules] if holds(shape))
+    if rules == "scored":
+        sure = min(sure + 0.1 * (shape["solidity"] > 0.5) + 0.05 * (shape["circularity"] < 0.3), 0.95)
+    return kind, sure
+
+
+def marks(image: np.ndarray, rules: str = "plain", region: tuple[int, int, int, int] | None = None, low: float = 0.001, high: float = 0.05) -> list[dict]:
+    """Ticks, crosses, circles and the like whose area is a small part of the image or region, boxes in the image's own places; one absent if there is none."""
+    height, width = image.shape[:2]
+    x1, y1, x2, y2 = region or (0, 0, width, height)
+    x1, y1, x2, y2 = max(0, x1), max(0, y1), min(width, x2), min(height, y2)
+    if x2 <= x1 or y2 <= y1:
+        return [ABSENT]
+    part, out = gray(image)[y1:y2, x1:x2], []
+    for s in shapes(ink(blur(part, 3))):
+        s["share"] = s["area"] / part.size
+        if low <= s["share"] <= high:
+            kind, sure = mark_kind(s, rules)
+            a, b, c, d = s["box"]
+            out.append({"present": True, "kind": kind, "confidence": sure, "box": (a + x1, b + y1, c + x1, d + y1)})
+    return out or [ABSENT]
+
+
+def single_mark(image: np.ndarray, region: tuple[int, int, int, int] | None = None) -> dict:
+    return marks(image, "scored", region)[0]
+
+
+def padded_marks(image: np.ndarray, margin: int = 10) -> list[tuple[int, int, int, int]]:
+    """Boxes of the marks with a margin, inside the image."""
+    return [padded(m["box"], margin, image) for m in marks(image, "scored") if m["present"]]
+
+
+def padded(box: tuple[int, int, int, int], margin: int, image: np.ndarray) -> tuple[int, int, int, int]:
+    height, width = image.shape[:2]
+    return max(0, box[0] - margin), max(0, box[1] - margin), min(width, box[2] + margin), min(height, box[3] + margin)
+
+
+def power_by_mark(image: np.ndarray, read, margin: int = 50) -> dict | None:
+    """The first number of two or three digits from 15 to 100 that read(crop), a text, has around the first tick that has one."""
+    for m in marks(image, "plain"):
+        if m["present"] and m["kind"] == "tick":
+            x1, y1, x2, y2 = padded(m["box"], margin, image)
+            for n in re.findall(r"\d{2,3}", read(image[y1:y2, x1:x2]) or ""):
+                if 15 <= int(n) <= 100:
+                    return {"value": int(n), "confidence": 0.85, "box": m["box"], "source": "visual"}
+    return None
 
 
 def signature(image: np.ndarray, start: float = 0.75) -> dict:
-    """present, confidence, box: wide ink in the bottom part."""
+    """present, confidence, box: the first large shape of ink in the bottom part that is neither thin nor a block, or is wide."""
     top = int(image.shape[0] * start)
     foot = image[top:]
     for s in shapes(ink(blur(gray(foot), 5))):
         x1, y1, x2, y2 = s["box"]
-        if s["area"] > 0.05 * foot.shape[0] * foot.shape[1] and (0.1 < s["aspect"] < 1 or x2 - x1 > 2 * (y2 - y1)):
-            return {"present": True, "confidence": 0.95, "box": (x1, y1 + top, x2, y2 + top)}
+        wide = x2 - x1 > 2 * (y2 - y1)
+        if s["area"] > 0.05 * foot.shape[0] * foot.shape[1] and (0.1 < s["aspect"] < 1 or wide):
+            return {"present": True, "confidence": min(0.7 + 0.15 * wide + 0.1 * (s["aspect"] > 0.3), 1.0), "box": (x1, y1 + top, x2, y2 + top)}
     return {"present": False, "confidence": 0.9, "box": None}
 
 
+def stamp(image: np.ndarray, where: str = "footer") -> dict:
+    """present, confidence, box: the first shape of moderate size that is about as wide as high, or ring-like; where is footer (bottom right), right or all."""
+    height, width = image.shape[:2]
+    top, left = {"footer": (int(height * 0.75), int(width * 0.6)), "right": (0, int(width * 0.7))}.get(where, (0, 0))
+    part = gray(image)[top:, left:]
+    for s in shapes(ink(blur(part, 3))) if part.size else []:
+        even, ring = 0.7 < s["aspect"] < 1.4, 0.6 < s["circularity"] < 0.9
+        if 0.01 < s["area"] / part.size < 0.15 and (even or ring):
+            x1, y1, x2, y2 = s["box"]
+            return {"present": True, "confidence": min(0.75 + 0.15 * ring + 0.1 * even, 1.0), "box": (x1 + left, y1 + top, x2 + left, y2 + top)}
+    return {"present": False, "confidence": 0.9, "box": None}
+
+
+def red_ink(image: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Boxes of red or brown regions; none on grey images."""
+    if image.ndim == 2 or image.shape[2] < 3:
+        return []
+    mask = close_open(color_mask(image, "red") | color_mask(image, "brown"))
+    return [s["box"] for s in shapes(mask) if 0.005 <= s["area"] / mask.size <= 0.15 and 0.5 <= s["aspect"] <= 2]
+
+
+def chosen_stamp(image: np.ndarray, compat: bool = False) -> dict:
+    """With red ink a stamp anywhere, else one in the footer. If the whole image shows none, the first three red regions
+    are looked at; compat looks at the whole image again instead, to no effect."""
+    red = red_ink(image)
+    found = stamp(image, "all" if red else "footer")
+    for x1, y1, x2, y2 in red[:3] if not found["present"] and not compat else []:
+        inner = stamp(image[y1:y2, x1:x2], "all")
+        if inner["present"]:
+            a, b, c, d = inner["box"]
+            return inner | {"box": (a + x1, b + y1, c + x1, d + y1)}
+    return found
+
+
+def circular(image: np.ndarray, box: tuple[int, int, int, int]) -> bool:
+    """Whether the largest bright shape in the box is round."""
+    x1, y1, x2, y2 = box
+    found = shapes(gray(image[y1:y2, x1:x2]) > 127)
+    return bool(found) and max(found, key=lambda s: s["area"])["circularity"] > 0.6
+
+
+def skew(image: np.ndarray) -> float:
+    """Degrees by which the largest dark shape of a grey page leans, from -45 to 45: the side of its smallest enclosing rectangle."""
+    found = shapes(image <= otsu(image))
+    if not found:
+        return 0.0
+    labels = components(image <= otsu(image))
+    largest = np.bincount(labels.ravel())[1:].argmax() + 1
+    y, x = np.nonzero(labels == largest)
+    ring = np.array(hull(x, y), float)
+    if len(ring) < 3:
+        return 0.0
+    sides = np.roll(ring, -1, 0) - ring
+    angles = np.unique(np.round((np.degrees(np.arctan2(sides[:, 1], sides[:, 0])) + 45) % 90 - 45, 6))
+
+    def size(angle: float) -> float:
+        c, s_ = np.cos(np.radians(angle)), np.sin(np.radians(angle))
+        turned = ring @ np.array([[c, -s_], [s_, c]])
+        return float(np.prod(turned.max(0) - turned.min(0)))
+
+    return float(min(angles, key=lambda a: (size(a), abs(a))))
+
+
+def otsu(image: np.ndarray) -> int:
+    """The limit that parts dark from bright with the largest variance between them."""
+    hist = np.bincount(image.ravel(), minlength=256).astype(float)
+    below, total = np.cumsum(hist), hist.sum()
+    sums = np.cumsum(hist * np.arange(256))
+    inside = (below > 0) & (below < total)
+    spread = np.where(inside, (sums[-1] * below / total - sums) ** 2 / np.where(inside, below * (total - below), 1), 0)
+    return int(spread.argmax())
+
+
+def deskewed(image: np.ndarray, least: float = 0.5) -> np.ndarray:
+    """A grey page turned upright if it leans by more than least degrees; bilinear, edges repeated."""
+    angle = skew(image)
+    if abs(angle) <= least:
+        return image
+    height, width = image.shape
+    c, s_ = np.cos(np.radians(angle)), np.sin(np.radians(angle))
+    yy, xx = np.mgrid[:height, :width] - np.array([height // 2, width // 2])[:, None, None]
+    x = np.clip(c * xx - s_ * yy + width // 2, 0, width - 1)
+    y = np.clip(s_ * xx + c * yy + height // 2, 0, height - 1)
+    x0, y0 = np.floor(x).astype(int), np.floor(y).astype(int)
+    x1, y1, fx, fy = np.minimum(x0 + 1, width - 1), np.minimum(y0 + 1, height - 1), x - x0, y - y0
+    g = image.astype(float)
+    out = (g[y0, x0] * (1 - fx) + g[y0, x1] * fx) * (1 - fy) + (g[y1, x0] * (1 - fx) + g[y1, x1] * fx) * fy
+    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+
+
 def color_regions(image: np.ndarray, color: str = "red", low: float = 0.005, high: float = 0.15, morphology: bool = True) -> tuple[list[tuple], float]:
     """Boxes of a colour's regions and how sure that is; grey images have none, at 0.5."""
     if image.ndim == 2 or image.shape[2] < 3:
@@ -231,8 +398,62 @@ def color_regions(image: np.ndarray, color: str = "red", low: float = 0.005, hig
 
 def stamps(image: np.ndarray) -> list[dict]:
     """Red and brown regions as stamps, or one absent."""
-    out = [{"present": True, "color": c, "confidence": sure, "box": b} for c, sure in (("red", 0.8), ("brown", 0.75)) for b in color_regions(image, c)[0]]
-    return out or [{"present": False, "color": None, "confidence": 0.9, "box": None}]
+    out = [{"present": True, "color": c, "confidence": sure, "box": b, "is_circular": circular(image, b)} for c, sure in (("red", 0.8), ("brown", 0.75)) for b in color_regions(image, c)[0]]
+    return out or [{"present": False, "color": None, "confidence": 0.9, "box": None, "is_circular": False}]
+
+
+def any_stamp(image: np.ndarray) -> dict:
+    """The surest of the stamps by colour, the first of equals."""
+    return max(stamps(image), key=lambda s: s["confidence"])
+
+
+def strokes_scored(region: np.ndarray) -> dict:
+    """handwritten, confidence and width by the older rule: confidence rises with the variance of the bright parts' areas."""
+    if region.size == 0:
+        return {"handwritten": False, "confidence": 0.0, "width": 0.0}
+    areas = np.bincount(components(gray(region) > 127).ravel())[1:].astype(float)
+    if not len(areas):
+        return {"handwritten": False, "confidence": 0.5, "width": 0.0}
+    nv = float(areas.var() / areas.mean() ** 2)
+    return {"handwritten": nv > 0.1, "confidence": min(0.5 + 2 * nv, 0.9), "width": float(np.sqrt(areas.mean()))}
+
+
+def is_handwritten(region: np.ndarray, threshold: float = 0.5) -> bool:
+    found = strokes(region)
+    return found["handwritten"] and found["confidence"] >= threshold
+
+
+def block_strokes(image: np.ndarray, box: tuple[int, int, int, int]) -> dict:
+    """strokes() of a box, as far as it lies in the image."""
+    x1, y1, x2, y2 = padded(box, 0, image)
+    if x2 <= x1 or y2 <= y1:
+        return {"handwritten": False, "confidence": 0.5, "width": 0.0, "variance": 0.0, "parts": 0}
+    return strokes(image[y1:y2, x1:x2])
+
+
+def blocks_strokes(image: np.ndarray, boxes: list[tuple[int, int, int, int]]) -> list[dict]:
+    return [block_strokes(image, b) for b in boxes]
+
+
+def _written(image: np.ndarray, top: int, bottom: int, fits, value_fits) -> dict | None:
+    """The surest handwritten shape in a band of rows; its value is the whole part of its area, which stands in for a reading."""
+    part, found = gray(image)[top:bottom], []
+    for s in shapes(ink(blur(part, 3))) if part.size else []:
+        x1, y1, x2, y2 = s["box"]
+        pen = strokes_scored(part[y1:y2, x1:x2])
+        if fits(s) and pen["handwritten"] and value_fits(int(s["area"])):
+            found.append({"value": int(s["area"]), "confidence": pen["confidence"], "box": (x1, y1 + top, x2, y2 + top), "width": pen["width"]})
+    return max(found, key=lambda f: f["confidence"], default=None)
+
+
+def written_power(image: np.ndarray) -> dict | None:
+    height = image.shape[0]
+    return _written(image, int(height * 0.3), int(height * 0.7), lambda s: 50 <= s["area"] <= 2000 and 0.3 < s["aspect"] < 1.5, lambda v: 20 <= v <= 100)
+
+
+def written_cost(image: np.ndarray) -> dict | None:
+    height = image.shape[0]
+    return _written(image, int(height * 0.7), height, lambda s: 500 < s["area"] <= 5000, lambda v: True)
 
 
 def strokes(region: np.ndarray) -> dict:
@@ -240,12 +461,12 @@ def strokes(region: np.ndarray) -> dict:
     labels = components(gray(region) > 127)
     areas = np.bincount(labels.ravel())[1:].astype(float)
     if not len(areas) or areas.mean() == 0:
-        return {"handwritten": False, "confidence": 0.5, "width": 0.0, "variance": 0.0}
+        return {"handwritten": False, "confidence": 0.5, "width": 0.0, "variance": 0.0, "parts": 0}
     nv = float(areas.var() / areas.mean() ** 2)
     sure = 0.9 if nv > 0.3 else 0.75 if nv > 0.2 else 0.6 if nv > 0.1 else 0.4
     if (nv > 0.1 and len(areas) > 10) or (nv <= 0.1 and len(areas) < 3):
         sure = min(sure + 0.1, 0.95)
-    return {"handwritten": nv > 0.1, "confidence": sure, "width": float(np.sqrt(areas.mean())), "variance": min(10 * nv, 1.0)}
+    return {"handwritten": nv > 0.1, "confidence": sure, "width": float(np.sqrt(areas.mean())), "variance": min(10 * nv, 1.0), "parts": len(areas)}
 
 
 def png(image: np.ndarray) -> bytes:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from ..functions import dims, expr, rules
-from ..functions.fuzzy import fuzzy_score
-from ..operators import extract, layout, merge, pages, report
+from ..functions.fuzzy import best_names
+from ..operators import candidates, document, extract, layout, merge, pages, report
+from ..sources import files
 from . import views
 from .views import _q
 
@@ -77,10 +78,11 @@ def layout_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.in_reading_order(layout.with_regions(views.document_blocks(spark, sf_dir))).select("doc_id", "region", "region_pos", "pos")
 
 
-@query(f"SELECT doc_id, count(*) FILTER (region = 'header') AS n_header, count(*) FILTER (region = 'body') AS n_body, count(*) FILTER (region = 'footer') AS n_footer FROM (SELECT *, {REGION} AS region FROM ({DOC})) GROUP BY doc_id")
+@query("SELECT doc_id, " + ", ".join(f"count(*) FILTER (region = '{r}') AS n_{r}, coalesce(string_agg(CAST(pos AS VARCHAR) || ':' || text, chr(10) ORDER BY y1 + y2, pos) FILTER (region = '{r}'), '') AS {r}" for r in ("header", "body", "footer")) + f" FROM (SELECT *, {REGION} AS region FROM ({DOC})) GROUP BY doc_id")
 def page_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = layout.page_layout(layout.with_regions(views.document_blocks(spark, sf_dir)))
-    return out.select("doc_id", *(F.size(f"{r}_blocks").cast("long").alias(f"n_{r}") for r in ("header", "body", "footer")))
+    said = lambda r: F.array_join(F.transform(f"{r}_blocks", lambda b: F.concat(b["pos"].cast("string"), F.lit(":"), b["text"])), "\n")
+    return out.select("doc_id", *(c for r in ("header", "body", "footer") for c in (F.size(f"{r}_blocks").cast("long").alias(f"n_{r}"), said(r).alias(r))))
 
 
 @query(f"SELECT region, count(*) AS n FROM (SELECT *, {REGION} AS region FROM ({DOC})) GROUP BY region")
@@ -205,9 +207,11 @@ def dealer_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fuzzy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.createDataFrame([(d,) for d in dict.fromkeys(dims.DEALERS)], "dealer string")
-    texts = views.invoice_blocks(spark, sf_dir).filter("pos < 2").select("text").distinct()
-    return texts.join(F.broadcast(names), how="cross").select("text", "dealer", fuzzy_score("text", "dealer").alias("score")).filter("score >= 0.6")
+    """Every distinct text of the header and body with the dealers it names with 0.6 at least."""
+    names = list(dict.fromkeys(dims.DEALERS))
+    texts = layout.with_regions(views.invoice_blocks(spark, sf_dir)).filter("region <> 'footer'").select("text").distinct()
+    found = texts.select("text", F.explode(best_names(names)("text", F.lit(0.6))).alias("d"))
+    return found.select("text", F.get(F.array(*(F.lit(n) for n in names)), F.col("d.ord")).alias("dealer"), F.col("d.score").alias("score"))
 
 
 @query()
@@ -296,7 +300,12 @@ def infer_hp(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CONFS = ["dealer_confidence", "model_confidence", "power_confidence", "cost_confidence"]
 
 
-@query()
+_HUNDREDTHS = " + ".join(f"CAST(round(coalesce({c}, 0) * 100) AS BIGINT)" for c in _CONFS)
+
+
+# in whole hundredths; half to even
+@query(f"""SELECT doc_id, CAST(q + CASE WHEN 2 * r > n OR (2 * r = n AND q % 2 = 1) THEN 1 ELSE 0 END AS DOUBLE) / 100 AS confidence
+  FROM (SELECT doc_id, n, s // n AS q, s % n AS r FROM (SELECT doc_id, {_HUNDREDTHS} + 180 AS s, 2 + {' + '.join(f'CASE WHEN {c} IS NULL THEN 0 ELSE 1 END' for c in _CONFS)} AS n FROM (SELECT * FROM ({FIELDS}))))""")
 def doc_confidence_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = views.extracted_fields(spark, sf_dir)
     return f.select("doc_id", rules.mean_confidence(*(f[c] for c in _CONFS), F.lit(0.9), F.lit(0.9)).alias("confidence"))
@@ -326,7 +335,8 @@ def format_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("doc_id", expr.currency(f.cost).alias("cost_text"), expr.percentage(f.document_confidence).alias("pct_text"))
 
 
-@query()
+@query(f"""SELECT doc_id, CAST(doc_id AS VARCHAR) || ' | ' || coalesce(dealer, 'None') || ' | ' || coalesce(model, 'None') || ' | ' || coalesce(CAST(power AS VARCHAR), 'None') || ' | '
+  || CASE WHEN cost IS NULL THEN 'INR N/A' ELSE 'INR ' || format('{{:,}}', cost) END || ' | ' || CAST((doc_id * 29) % 101 AS INTEGER) || '.0%' AS line FROM ({FIELDS})""")
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.report_lines(views.extracted_fields(spark, sf_dir))
 
@@ -363,6 +373,91 @@ _draw = F.pandas_udf(_drawn, BinaryType())
 
 @query()
 def visual_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = pages.visual_fields(_drawings(spark, sf_dir))
+    return seen.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("signature_box", "stamp_box")})
+
+
+@query()
+def extracted_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document.extracted_document(layout.with_regions(views.invoice_blocks(spark, sf_dir)))
+
+
+@query(f"""SELECT doc_id, CASE WHEN power IS NULL THEN 'HP value is missing' WHEN power NOT BETWEEN 15 AND 100 THEN 'HP value ' || power || ' is outside typical tractor range (15-100)'
+    WHEN f IS NULL THEN 'HP value ' || power || ' is within valid tractor range' WHEN power BETWEEN f.low AND f.high THEN 'HP value ' || power || ' is valid for ' || f.brand
+    ELSE 'HP value ' || power || ' is outside expected range for ' || f.brand || ' (' || f.low || '-' || f.high || ')' END AS power_message,
+  CASE WHEN cost IS NULL THEN 'Cost value is missing' WHEN cost < 200000 THEN 'Cost ' || cost || ' seems too low for a tractor' WHEN cost > 2000000 THEN 'Cost ' || cost || ' seems too high for a tractor'
+    ELSE 'Cost ' || format('{{:,}}', cost) || ' is within reasonable tractor range' END AS cost_message FROM (SELECT *, {_FOUND} AS f FROM ({FIELDS}))""")
+def rule_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = views.extracted_fields(spark, sf_dir)
+    return f.select("doc_id", rules.power_message(f.power, f.model)["message"].alias("power_message"), rules.cost_message(f.cost)["message"].alias("cost_message"))
+
+
+@query(f"SELECT doc_id, pos, CAST(unnest(list_filter({_numbers('text')}, lambda n: n >= 10000)) AS BIGINT) AS value FROM ({INV}) WHERE {_any('lower(text)', dims.COST_WORDS)}")
+def cost_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.cost_candidates(views.invoice_blocks(spark, sf_dir)).select("doc_id", "pos", "value")
+
+
+@query(f"SELECT DISTINCT doc_id, pos, hp AS value FROM ({ORACLES['hp_patterns']})")
+def power_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.power_candidates(views.invoice_blocks(spark, sf_dir)).select("doc_id", "pos", "value")
+
+
+@query(f"SELECT doc_id, pos, CASE WHEN (y1 + y2) / 2.0 <= 350 THEN 'header' WHEN (y1 + y2) / 2.0 >= 750 THEN 'footer' ELSE 'body' END AS section FROM ({DOC}) WHERE confidence >= 0.5")
+def word_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.sections(candidates.confident(views.document_blocks(spark, sf_dir))).select("doc_id", "pos", "section")
+
+
+@query(f"""SELECT doc_id, CAST(row AS BIGINT) AS row, regexp_replace(trim(cells[1], E' \\t\\n\\r'), ' *:$', '') AS key, array_to_string(cells[2:], ' ') AS value
+  FROM (SELECT doc_id, floor((y1 + y2) / 2.0 / 20) AS row, list(text ORDER BY x1, pos) AS cells FROM (SELECT * FROM ({INV})) GROUP BY ALL) WHERE len(cells) > 1""".replace("/ 20)", "/ 200)"))
+def table_key_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.key_values(candidates.table_rows(views.invoice_blocks(spark, sf_dir), height=200))
+
+
+@query(f"SELECT doc_id, string_agg(text, chr(10) ORDER BY pos) AS text FROM ({INV}) GROUP BY doc_id")
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document.page_text(views.invoice_blocks(spark, sf_dir))
+
+
+@query(f"SELECT doc_id || '_page' || (doc_id % 4 + 1) AS page_key FROM ({FIELDS})")
+def page_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = views.extracted_fields(spark, sf_dir)
+    return f.select(files.page_key(F.col("doc_id"), F.col("doc_id") % 4 + 1).alias("page_key"))
+
+
+@query(f"""SELECT doc_id, 1 AS page_number, dealer AS dealer_value, coalesce(dealer_confidence, 0) AS dealer_confidence, power AS power_value, coalesce(power_confidence, 0) AS power_confidence, signature AS signature_present,
+  CAST(0 AS DOUBLE) AS signature_confidence, document_confidence, strftime(make_timestamp(2024, 1, 2, 3, 4, 5.25), '%Y-%m-%dT%H:%M:%S.%f') AS extraction_timestamp FROM ({FIELDS})""")
+def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = files.results(views.extracted_fields(spark, sf_dir), stamped=F.lit("2024-01-02 03:04:05.25").cast("timestamp"))
+    return r.select("doc_id", "page_number", F.col("dealer_name.value").alias("dealer_value"), F.col("dealer_name.confidence").alias("dealer_confidence"), F.col("horse_power.value").alias("power_value"), F.col("horse_power.confidence").alias("power_confidence"),
+                    F.col("signature.present").alias("signature_present"), F.col("signature.confidence").alias("signature_confidence"), "document_confidence", "extraction_timestamp")
+
+
+@query()
+def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.report_text(views.extracted_fields(spark, sf_dir))
+
+
+def _drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey")
     image = F.struct(F.lit("").alias("origin"), F.lit(120).alias("height"), F.lit(160).alias("width"), F.lit(3).alias("nChannels"), F.lit(16).alias("mode"), _draw("s_suppkey").alias("data"))
-    return pages.visual_fields(ids.select(F.format_string("page%d.png", "s_suppkey").alias("path"), image.alias("image")))
+    return ids.select(F.format_string("page%d.png", "s_suppkey").alias("path"), image.alias("image"))
+
+
+@query()
+def image_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.image_quality(_drawings(spark, sf_dir))
+
+
+@query()
+def stroke_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.stroke_widths(_drawings(spark, sf_dir))
+
+
+@query()
+def contour_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.mark_shapes(_drawings(spark, sf_dir))
+
+
+@query()
+def color_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.color_regions(_drawings(spark, sf_dir))

@@ -57,7 +57,7 @@ def test_normalise_and_strokes():
     assert out.shape == (600, 800) and out.dtype == np.uint8
     x = np.zeros((50, 50), np.uint8)
     x[5:10, 5:10] = x[20:25, 20:25] = 255
-    assert images.strokes(x) == {"handwritten": False, "confidence": 0.5, "width": 5.0, "variance": 0.0}
+    assert images.strokes(x) == {"handwritten": False, "confidence": 0.5, "width": 5.0, "variance": 0.0, "parts": 2}
 
 
 def test_image_source(spark, tmp_path):
