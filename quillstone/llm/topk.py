@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,17 +13,16 @@ from pyspark.sql import functions as F
 from .storage import cut, table
 
 K, QUERY_STEP = 5, 50
-#: Rows of a block of candidates and of queries; a task holds one of each.
-ROWS, QUERIES = 8192, 512
+#: Rows of a block of candidates.
+ROWS = 8192
 FIRST_DEPTH = 32
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    lists = column.to_pylist()
-    width = max(map(len, lists), default=0)
-    out = np.zeros((len(lists), width), np.int64)
-    for i, x in enumerate(lists):
-        out[i, : len(x)] = x
+def _matrix(column: pa.ListArray) -> np.ndarray:
+    """Rows of integers, shorter ones with zeros beyond their end."""
+    width = column.value_lengths().to_numpy()
+    out = np.zeros((len(column), int(width.max(initial=0))), np.int64)
+    out[np.arange(out.shape[1]) < width[:, None]] = column.flatten().to_numpy()
     return out
 
 
@@ -62,19 +62,48 @@ def threshold_topk(rows: np.ndarray, ids: np.ndarray, query: np.ndarray, own: in
     return [(int(scores[i]), int(ids[i])) for i in best]
 
 
+class _Block:
+    """The rows of a block, sorted once by every dimension, for any number of queries."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray) -> None:
+        self.ids, self.v, self.order = ids, v, np.argsort(v, axis=0, kind="stable")
+        self.most = float(np.abs(v).max(initial=0))
+        self.exact = v.astype(np.float64)
+
+    def best(self, own: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
+        width = max(self.v.shape[1], len(query))
+        query = np.pad(query, (0, width - len(query)))
+        if width > self.v.shape[1]:
+            query = query[: self.v.shape[1]]  # the rows are zero there
+        # exact in doubles, and faster, if no sum can be too large for them
+        small = self.most * float(np.abs(query).max(initial=0)) * width < 2**52
+        v, query = (self.exact, query.astype(np.float64)) if small else (self.v, query)
+        return threshold_topk(v, self.ids, query, own, k, self.order)
+
+
 def _search(k: int):
-    def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, int]] = []
-        if len(queries) and len(rows):
-            v, q = _matrix(rows.column("v")), _matrix(queries.column("v"))
-            width = max(v.shape[1], q.shape[1])
-            v, q = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (v, q))
-            if width and float(np.abs(v).max(initial=0)) * float(np.abs(q).max(initial=0)) * width < 2**52:
-                v, q = v.astype(np.float64), q.astype(np.float64)  # exact in doubles, and faster
-            ids, order = rows.column("vec_id").to_numpy(), np.argsort(v, axis=0, kind="stable")
-            for own, x in zip(queries.column("vec_id").to_pylist(), q, strict=True):
-                out += [(own, i, s) for s, i in threshold_topk(v, ids, x, own, k, order)]
-        return pa.table({"query_id": pa.array([x[0] for x in out], pa.int64()), "vec_id": pa.array([x[1] for x in out], pa.int64()), "score": pa.array([x[2] for x in out], pa.int64())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by block b, in it rows (kind 0) before queries (kind 1): a task holds a block's rows and a batch of queries."""
+        at, ids, parts, block = None, [], [], None
+        for batch in batches:
+            out: list[tuple[int, int, int]] = []
+            b, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edges = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (kind[1:] != kind[:-1]), [True]])) if len(b) else []
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                if b[lo] != at:
+                    at, ids, parts, block = b[lo], [], [], None
+                some, v = batch.column(2).slice(lo, hi - lo).to_numpy(), _matrix(batch.column(3).slice(lo, hi - lo))
+                if kind[lo] == 0:
+                    ids.append(some)
+                    parts.append(v)
+                    continue
+                if block is None and parts:
+                    width = max(x.shape[1] for x in parts)
+                    block = _Block(np.concatenate(ids), np.concatenate([np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in parts]))
+                if block is not None:
+                    for own, x in zip(some.tolist(), v, strict=True):
+                        out += [(own, i, s) for s, i in block.best(own, x, k)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1, 2)], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -85,18 +114,19 @@ def exact_topk(vectors: DataFrame, k: int = K, step: int = QUERY_STEP) -> DataFr
     vectors needs vec_id and embedding. Components are floor(256 * x); vectors that are null or hold null, NaN
     or infinite components take no part, nor do rows with a null vec_id; shorter vectors count as zero beyond
     their end, empty ones score 0. Rows that repeat a vec_id are candidates each, save for queries with that
-    id. Queries and rows meet in blocks of bounded size, every query block with every row block.
+    id; of a query's own rows the smallest vector asks. Rows are dealt into blocks of about ROWS and stay where they
+    are; queries, a small part of the rows, are copied to every block, so what is copied grows with queries times blocks.
     """
     whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     grid = vectors.filter(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & whole).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("v"))
     grid = cut(grid, "vectors")
-    asked = F.col("vec_id") % step == 0
-    n = grid.agg(F.count(F.lit(1)).alias("n"), F.count_if(asked).alias("q")).first()
-    nb, qb = max(1, math.ceil(n.n / ROWS)), max(1, math.ceil(n.q / QUERIES))
-    every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
-    rows = grid.select(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(nb)).alias("b"), every(qb).alias("a"), "vec_id", "v")
-    queries = grid.filter(asked).select(F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(qb)).alias("a"), every(nb).alias("b"), "vec_id", "v")
-    found = queries.groupBy("a", "b").cogroup(rows.groupBy("a", "b")).applyInArrow(_search(k), "query_id long, vec_id long, score long")
+    nb = max(1, math.ceil(grid.count() / ROWS))
+    rows = grid.select(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(nb)).alias("b"), F.lit(0).alias("kind"), "vec_id", "v")
+    asked = grid.filter(F.col("vec_id") % step == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    queries = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nb - 1).cast("long"))).alias("b"), F.lit(1).alias("kind"), "vec_id", "v")
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = rows.union(queries).repartition(parts, "b").sortWithinPartitions("b", "kind")
+    found = met.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

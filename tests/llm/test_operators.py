@@ -289,6 +289,20 @@ def test_topk(spark):
     assert topk.exact_topk(df.limit(0)).count() == 0
 
 
+def test_topk_over_blocks(spark, monkeypatch):
+    """Several blocks to a task, vectors of unlike lengths, zeros and empty ones, ties, a candidate's id twice."""
+    monkeypatch.setattr(topk, "ROWS", 40)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.integers(-3, 3, rng.integers(0, 6)) / 256]) for i in range(400)] + [(7, [0.5])]
+    got = defaultdict(list)
+    for r in topk.exact_topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), step=100).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    grid = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows]
+    for q in (0, 100, 200, 300):
+        want = sorted(((i, sum(a * b for a, b in zip(v, grid[q][1]))) for i, v in grid if i != q), key=lambda x: (-x[1], x[0]))[:5]
+        assert got[q] == want
+
+
 def test_packing(docs, empty, texts):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     ids = {i: np.array(t.encode(x or "", add_special_tokens=False).ids + [2], "<u4") for i, x in texts.items()}
