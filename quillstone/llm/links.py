@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,14 +16,14 @@ from .storage import cut
 BLOCK, PIVOTS = 64, 16
 #: Rows looked at together; a block that goes on is carried over.
 HELD_ROWS = 512
-Confirm = Callable[[pa.Table, list[int], list[int], list[bool]], list[tuple[int, int]]]
+#: Takes rows and the edges of their blocks; gives links inside blocks that connect all that links connect.
+Confirm = Callable[[pa.Table, list[int]], list[tuple[int, int]]]
 
 
-def spanning(ids: list[int], known: list[int], focus: list[bool], near: Callable[[int], np.ndarray], same: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+def spanning(ids: list[int], known: list, pairs: Iterable[tuple[int, int]], same: Callable[[int, int], bool]) -> list[tuple[int, int]]:
     """Pairs that connect all rows that confirmed links connect, beyond the parts in known: one row of each part, with the smallest of those.
 
-    near(i) has for each later row a distance, or -1 for no candidate; same(i, j) confirms a link. Candidates go
-    by distance, pairs already connected are skipped, and so are those without a row in focus.
+    pairs are places of candidates, likely ones first; same(i, j) confirms a link. Pairs already connected are skipped.
     """
     root = list(range(len(ids)))
 
@@ -33,15 +33,11 @@ def spanning(ids: list[int], known: list[int], focus: list[bool], near: Callable
             x = root[x]
         return x
 
-    seen: dict[int, int] = {}
+    seen: dict = {}
     for i, k in enumerate(known):
         root[find(i)] = find(seen.setdefault(k, i))
-    pairs = []
-    for i in range(len(ids)):
-        far = near(i)
-        pairs += [(int(far[j]), i, i + 1 + int(j)) for j in np.flatnonzero(far >= 0) if focus[i] or focus[i + 1 + j]]
     before = [find(i) for i in range(len(ids))]
-    for _, i, j in sorted(pairs):
+    for i, j in pairs:
         a, b = find(i), find(j)
         if a != b and same(i, j):
             root[a] = b
@@ -52,25 +48,25 @@ def spanning(ids: list[int], known: list[int], focus: list[bool], near: Callable
     return [(ids[a], best[find(a)]) for a in dict.fromkeys(before) if ids[a] != best[find(a)]]
 
 
+def block_pairs(edges: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Places i < j of all pairs of rows of one block; a block has BLOCK rows or so."""
+    edge = np.array(edges)
+    after = np.repeat(edge[1:], np.diff(edge)) - np.arange(edge[-1]) - 1
+    i = np.repeat(np.arange(edge[-1]), after)
+    return i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
+
+
 def _blocks(confirm: Confirm, by: int):
     """Rows come sorted by their first by columns, then known, focus and the columns of texts; whole blocks are confirmed, a batch at a time."""
-    names = ["u", "v"]
-
-    def links(t: pa.Table) -> tuple[list[int], list[int]]:
-        found = confirm(t, t.column("doc_id").to_pylist(), t.column("known").to_pylist(), t.column("focus").to_pylist())
-        return [x for x, _ in found], [x for _, x in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
         def done(t: pa.Table, edges: list[int]) -> pa.RecordBatch:
-            u, v = [], []
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if b - a > 1:
-                    x, y = links(t.slice(a, b - a))
-                    u += x
-                    v += y
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=names)
+            size = np.diff(edges)
+            some = np.repeat(size > 1, size)
+            found = confirm(t.slice(0, edges[-1]).filter(pa.array(some)), [0, *np.cumsum(size[size > 1]).tolist()]) if some.any() else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
         for batch in batches:
             for lo in range(0, len(batch), HELD_ROWS):
