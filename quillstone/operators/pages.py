@@ -60,7 +60,8 @@ def _marks(path: str, x: np.ndarray) -> list[tuple]:
 
 
 def _colors(path: str, x: np.ndarray) -> list[tuple]:
-    found = [(c, *images.color_regions(x, c)) for c in images.HSV_RANGES]
+    hues = images.hsv(x) if x.ndim == 3 else None
+    found = [(c, *images.color_regions(x, c, hues=hues)) for c in images.HSV_RANGES]
     return [(path, c, k, *b, sure, images.circular(x, b)) for c, boxes, sure in found for k, b in enumerate(boxes)]
 
 

@@ -81,3 +81,21 @@ def test_json_source_and_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("blocks").count() == 2
+
+
+def test_pages_are_drawn_by_many_tasks_and_looked_at_once_for_all_colours(spark, monkeypatch):
+    from quillstone.plans import catalog
+
+    assert catalog._drawings(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
+    calls, hsv = [], images.hsv
+    monkeypatch.setattr(images, "hsv", lambda x: calls.append(1) or hsv(x))
+    assert pages._colors("p", disc((0, 0, 220))) == [("p", c, 0, 126, 126, 175, 175, pytest.approx(0.9), False) for c in ("red", "orange")]
+    assert len(calls) == 1
+
+
+def test_components_and_hull_of_odd_masks():
+    for mask in (np.zeros((0, 0), bool), np.zeros((3, 4), bool), np.ones((1, 1), bool), np.ones((3, 1), bool)):
+        assert images.components(mask).tolist() == mask.astype(int).tolist()
+    # neighbours by a corner are one part, the ends of neighbouring rows are not
+    assert images.components(np.array([[0, 0, 1], [1, 0, 0], [0, 1, 0]], bool)).tolist() == [[0, 0, 1], [2, 0, 0], [0, 2, 0]]
+    assert images.hull(np.array([0, 2, 2, 0, 1, 1]), np.array([0, 0, 2, 2, 1, 2])) == [(0, 0), (2, 0), (2, 2), (0, 2)]
