@@ -27,9 +27,10 @@ def _look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for row in frame.to_dict("records"):
             x = _array(row)
-            sign, stamp, pen = images.signature(x), images.chosen_stamp(x), images.strokes(x)
-            marks = [m for m in images.marks(x) if m["present"]]
-            out.append((row["path"], images.quality(images.gray(x)), sign["present"], sign["confidence"], stamp["present"], stamp["confidence"], len(marks), sum(m["kind"] == "tick" for m in marks), pen["handwritten"], pen["width"], sign["box"], stamp["box"]))
+            g = images.gray(x)
+            sign, stamp, pen = images.signature(g), images.chosen_stamp(x), images.strokes(g)
+            marks = [m for m in images.marks(g) if m["present"]]
+            out.append((row["path"], images.quality(g), sign["present"], sign["confidence"], stamp["present"], stamp["confidence"], len(marks), sum(m["kind"] == "tick" for m in marks), pen["handwritten"], pen["width"], sign["box"], stamp["box"]))
         yield pd.DataFrame(out, columns=[f.split()[0] for f in _VISUAL.split(", ")])
 
 
