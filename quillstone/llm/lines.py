@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .kernels import U, Rolling, chunks, mix, word_bounds
-from .links import block_pairs, linked, spanning
+from .links import block_pairs, linked_pairs, spanning
 from .storage import cut, table
 
 #: Lines of fewer words stay as they are. Linked lines have an edit similarity of at least SIMILARITY.
@@ -35,8 +35,8 @@ LEVEL_BITS = 6
 FUNCTIONS, RADIUS, SHORT_RADIUS = 64 - LEVEL_BITS, 22, 20
 #: Words that are aligned to bound a distance; longer stretches go to the exact distance at once, which takes less then.
 ALIGNED = 200
-#: Records (key, sketch), or characters of lines in parts, that a task holds; of a key with more than HOT of them only leaders go on.
-HELD, HOT = 1 << 18, 256
+#: Records (key, sketch), or characters of lines in parts, that a task holds. Keys and sketches of more than HOT are compared with their texts at hand, leaders first.
+HELD, HOT = 1 << 18, 32
 _RNG = np.random.default_rng(1105)
 _XOR = _RNG.integers(0, 2**32, FUNCTIONS, dtype=np.uint32)
 _MUL = _RNG.integers(0, 2**32, FUNCTIONS, dtype=np.uint32) | np.uint32(1)
@@ -166,29 +166,42 @@ def signed(lines: Lines, some: np.ndarray) -> tuple[np.ndarray, ...]:
     return first, second, np.concatenate(keys), np.concatenate(sketches)
 
 
-def bucket_ties(key: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(u, v, keys of leaders, leaders). In every round the first record left of each key leads it and takes the near ones as ties; never more ties than records."""
-    order = np.argsort(key.astype(U) << U(32) | mix(sig ^ key) >> U(32))
-    key, sig = key[order], sig[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])
-    key, sig = key[new], sig[new]
-    u, v, led, leaders = [], [], [], []
+def _reach(key: np.ndarray) -> np.ndarray:
+    return np.where(key & 3 == THREES, SHORT_RADIUS, RADIUS)
+
+
+def bucket_ties(key: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(u, v) of distinct sorted records. In every round the first record left of each key leads it and takes the near ones as ties; never more ties than records."""
+    u, v = [np.zeros(0, U)], [np.zeros(0, U)]
     while len(key):
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.concatenate([first, [len(key)]]))
-        led.append(key[first])
-        leaders.append(sig[first])
         more = np.repeat(size > 1, size)
         more[first] = False
         lead = np.repeat(sig[first], size)[more]
         key, sig = key[more], sig[more]
-        near = apart(lead, sig) <= np.where(key & 3 == THREES, SHORT_RADIUS, RADIUS)
+        near = apart(lead, sig) <= _reach(key)
         u.append(lead[near])
         v.append(sig[near])
         key, sig = key[~near], sig[~near]
-    join = lambda x, kind: np.concatenate([np.zeros(0, kind), *x])
-    return join(u, U), join(v, U), join(led, np.uint32), join(leaders, U)
+    return np.concatenate(u), np.concatenate(v)
+
+
+def bucket_pairs(key: np.ndarray, sig: np.ndarray, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(u, v, keys, members): all near sketches of keys with up to hot of them; of the other keys ties, and all that they have."""
+    order = np.lexsort((sig, key))
+    key, sig = key[order], sig[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])
+    key, sig = key[new], sig[new]
+    size = np.diff(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])))
+    few, many = np.repeat((size > 1) & (size <= hot), size), np.repeat(size > hot, size)
+    i, j = block_pairs([0, *np.cumsum(size[(size > 1) & (size <= hot)]).tolist()])
+    k, x = key[few], sig[few]
+    near = apart(x[i], x[j]) <= _reach(k[i])
+    u, v = bucket_ties(key[many], sig[many])
+    u, v = np.concatenate([x[i[near]], u]), np.concatenate([x[j[near]], v])
+    return *_distinct(np.minimum(u, v), np.maximum(u, v)), key[many], sig[many]
 
 
 def _distinct(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,23 +221,14 @@ def _batch(n: int, **columns: pa.Array) -> pa.RecordBatch:
 
 
 def _describe(least_words: int, parts: int):
-    def packed(key: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Records in key order, one blob for each part of the key space; ties that hot keys give at once go as sketches of one line."""
+    def packed(key: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
+        """Records in key order, one blob for each part of the key space."""
         order = np.argsort(key)
         key, sig = key[order], sig[order]
-        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-        hot = np.repeat(np.diff(edge) > HOT, np.diff(edge))
-        if hot.any():
-            u, v, led, leaders = bucket_ties(key[hot], sig[hot])
-            u, v = _distinct(u, v)
-            yield _batch(len(u), sig=pa.array(u), other=pa.array(v))
-            key, sig = np.concatenate([key[~hot], led]), np.concatenate([sig[~hot], leaders])
-            order = np.argsort(key)
-            key, sig = key[order], sig[order]
         part = (key.astype(U) * U(parts) >> U(32)).astype(np.int32)
         edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
         blobs = [key[a:b].tobytes() + sig[a:b].tobytes() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
-        yield _batch(len(blobs), part=pa.array(part[edge[:-1]]), blob=pa.array(blobs, pa.binary()))
+        return _batch(len(blobs), part=pa.array(part[edge[:-1]]), blob=pa.array(blobs, pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -240,22 +244,22 @@ def _describe(least_words: int, parts: int):
                 one, two, null = np.zeros(len(lines.row), U), np.zeros(len(lines.row), U), np.ones(len(lines.row), bool)
                 one[first], two[first], null[first] = x, y, False
                 marks = [pa.array(c[some].view(np.int64), mask=null[some]) for c in (one, two)]
-                yield _batch(len(some), doc_id=ids, h=h, place=pa.array(lines.place[some]), id=pa.array(lines.id[some].view(np.int64)), sig=marks[0], other=marks[1])
+                part = pa.array((lines.id[some] % U(parts)).astype(np.int32))
+                yield _batch(len(some), part=part, doc_id=ids, h=h, place=pa.array(lines.place[some]), id=pa.array(lines.id[some].view(np.int64)), sig=marks[0], other=marks[1])
                 if sum(len(k) for k, _ in held) >= HELD:
-                    yield from packed(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                    yield packed(*(np.concatenate(c) for c in zip(*held, strict=True)))
                     held.clear()
         if held:
-            yield from packed(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            yield packed(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
     return run
 
 
-def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by part; whole parts are looked at together, as many as fit in HELD records."""
-    held: list[tuple[int, bytes]] = []
-    records = 0
+def _tied(hot: int):
+    """Rows come sorted by part; lines pass. Of blobs whole parts are looked at together, as many as fit in HELD records: near sketches
+    go on as sig and other, those of hot keys as sig, with the key in place."""
 
-    def ties(blobs: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    def ties(blobs: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         key = np.concatenate([np.frombuffer(b, np.uint32, len(b) // 12) for _, b in blobs])
         sig = np.concatenate([np.frombuffer(b[len(b) // 3 :], U) for _, b in blobs])
         order = np.argsort(key)
@@ -264,18 +268,27 @@ def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again = np.zeros(len(key), bool)
         again[1:] |= same
         again[:-1] |= same
-        u, v = _distinct(*bucket_ties(key[again], sig[again])[:2])
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+        u, v, keys, members = bucket_pairs(key[again], sig[again], hot)
+        yield _batch(len(u), sig=pa.array(u), other=pa.array(v))
+        yield _batch(len(keys), place=pa.array(keys.astype(np.int64)), sig=pa.array(members.view(np.int64)))
 
-    for batch in batches:
-        for part, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if records >= HELD and held[-1][0] != part:
-                yield ties(held)
-                held, records = [], 0
-            held.append((part, blob.as_py()))
-            records += len(held[-1][1]) // 12
-    if held:
-        yield ties(held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, bytes]] = []
+        records = 0
+        for batch in batches:
+            plain = pc.is_null(batch.column("blob"))
+            yield pa.RecordBatch.from_arrays(batch.filter(plain).columns, schema=_SCHEMA)
+            some = batch.filter(pc.invert(plain))
+            for part, blob in zip(some.column("part").to_pylist(), some.column("blob"), strict=True):
+                if records >= HELD and held[-1][0] != part:
+                    yield from ties(held)
+                    held, records = [], 0
+                held.append((part, blob.as_py()))
+                records += len(held[-1][1]) // 12
+        if held:
+            yield from ties(held)
+
+    return run
 
 
 def edit_distance(a: str, b: str, limit: float = float("inf")) -> int:
@@ -332,45 +345,69 @@ def _triples(line: str) -> set[str]:
     return {line[k : k + 3] for k in range(len(line) - 2)}
 
 
+def _same(lines: list[str], similarity: float):
+    """same(i, j): whether two of the lines have that edit similarity."""
+    parts: dict[int, tuple[list[str], set[str]]] = {}
+    held = 0
+
+    def split(k: int) -> tuple[list[str], set[str]]:
+        nonlocal held
+        if k not in parts:
+            if held > HELD:
+                parts.clear()
+                held = 0
+            held += len(lines[k])
+            parts[k] = lines[k].split(" "), _triples(lines[k])
+        return parts[k]
+
+    def same(i: int, j: int) -> bool:
+        limit = (1 - similarity) * max(len(lines[i]), len(lines[j])) + 1e-9
+        if abs(len(lines[i]) - len(lines[j])) > limit:
+            return False
+        (a, x), (b, y) = split(i), split(j)
+        if max(len(x), len(y)) - len(x & y) > 3 * limit:
+            return False
+        return replaced(a, b, limit) or edit_distance(lines[i], lines[j], limit) <= limit
+
+    return same
+
+
 def _confirm(similarity: float):
+    """Of rows with near, the candidates of a row."""
+
     def links(rows: pa.Table, edges: list[int]) -> list[tuple[int, int]]:
         lines = [normalised(t or b"") for t in rows.column("text").cast(pa.binary()).to_pylist()]
-        size = np.array([len(x) for x in lines])
-        ids, known, focus = (rows.column(c).to_numpy() for c in ("doc_id", "known", "focus"))
-        i, j = block_pairs(edges)
-        edits = (1 - similarity) * np.maximum(size[i], size[j]) + 1e-9
-        some = (np.abs(size[i] - size[j]) <= edits) & (focus[i] | focus[j])
-        i, j, edits = i[some], j[some], edits[some]
-        first, second = (rows.column(c).to_numpy().view(U) for c in ("sig", "other"))
-        far = apart(first[i], first[j])
-        for x, y in ((first, second), (second, first), (second, second)):
-            far = np.minimum(far, apart(x[i], y[j]))
-        some = np.flatnonzero(far <= RADIUS)
-        some = some[np.argsort(far[some], kind="stable")]
-        limits = dict(zip(pairs := list(zip(i[some].tolist(), j[some].tolist(), strict=True)), edits[some].tolist(), strict=True))
-
-        parts: dict[int, tuple[list[str], set[str]]] = {}
-        held = 0
-
-        def split(k: int) -> tuple[list[str], set[str]]:
-            nonlocal held
-            if k not in parts:
-                if held > HELD:
-                    parts.clear()
-                    held = 0
-                held += len(lines[k])
-                parts[k] = lines[k].split(" "), _triples(lines[k])
-            return parts[k]
-
-        def same(i: int, j: int) -> bool:
-            limit = limits[i, j]
-            (a, x), (b, y) = split(i), split(j)
-            if max(len(x), len(y)) - len(x & y) > 3 * limit:
-                return False
-            return replaced(a, b, limit) or edit_distance(lines[i], lines[j], limit) <= limit
-
-        block = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
-        return spanning(ids.tolist(), list(zip(block.tolist(), known.tolist(), strict=True)), pairs, same)
+        ids = rows.column("doc_id").to_pylist()
+        at = {k: i for i, k in enumerate(ids)}
+        pairs = [(i, at[k]) for i, near in enumerate(rows.column("near").to_pylist()) for k in near or ()]
+        return spanning(ids, ids, pairs, _same(lines, similarity))
+
+    return links
+
+
+def _confirm_hot(similarity: float):
+    """Of rows that share a key, all with near sketches and known in different parts: those of two blocks x and y, or of one."""
+
+    def links(rows: pa.Table, edges: list[int]) -> list[tuple[int, int]]:
+        out = []
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            some = rows.slice(lo, hi - lo)
+            lines = [normalised(t or b"") for t in some.column("text").cast(pa.binary()).to_pylist()]
+            key, x, y, block, mark, known = (some.column(c).to_numpy() for c in ("key", "x", "y", "block", "mark", "known"))
+            reach = int(_reach(key[:1])[0])
+            size = np.array([len(t) for t in lines])
+            mark = mark.view(U)
+
+            def pairs(key=key, x=x, y=y, block=block, mark=mark, known=known, reach=reach, size=size) -> Iterator[tuple[int, int]]:
+                for i in range(len(mark) - 1):
+                    far = apart(mark[i], mark[i + 1 :])
+                    ok = (far <= reach) & (known[i + 1 :] != known[i]) & (np.abs(size[i + 1 :] - size[i]) <= (1 - similarity) * np.maximum(size[i + 1 :], size[i]) + 1e-9)
+                    if x[0] != y[0]:
+                        ok &= block[i + 1 :] != block[i]
+                    yield from ((i, i + 1 + j) for j in np.flatnonzero(ok).tolist())
+
+            out += spanning(some.column("doc_id").to_pylist(), known.tolist(), pairs(), _same(lines, similarity))
+        return out
 
     return links
 
@@ -389,6 +426,35 @@ def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), n, removed, left, *batch.columns[4:]], names=batch.schema.names)
 
 
+def _candidates(distinct: DataFrame, ties: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs u, v of lines; members key, doc_id, mark of hot keys): all lines that share a key and have near sketches are in
+    pairs, or in one hot key with pairs that connect most of them. Whether two lines are candidates depends on them alone."""
+    marks = cut(distinct.select("id", F.explode(F.array_distinct(F.array("sig", "other"))).alias("mark")), "marks")
+    at = lambda c: marks.select(F.col("mark").alias(c), F.col("id").alias(f"{c}_id"))
+    sketches = cut(ties.filter("other is not null").select(F.col("sig").alias("u"), F.col("other").alias("v")).distinct(), "sketches")
+    hot = ties.filter("other is null").select(F.col("place").alias("key"), F.col("sig").alias("mark")).join(marks, "mark").select("key", F.col("id").alias("doc_id"), "mark")
+    busy = cut(marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep")).filter(F.col("n") > HOT).select("mark", "rep"), "busy")
+    few, apart_ = marks, sketches
+    stars = None
+    if not busy.isEmpty():
+        # a sketch of many lines is a hot key of its own, and so is a pair of sketches with one of them
+        b = lambda c: busy.select(F.col("mark").alias(c), F.col("rep").alias(f"{c}_rep"))
+        few = marks.join(busy, "mark", "left_anti")
+        crowd = sketches.join(b("u"), "u", "left").join(b("v"), "v", "left")
+        apart_ = crowd.filter("u_rep is null and v_rep is null").select("u", "v")
+        crowd = cut(crowd.filter("u_rep is not null or v_rep is not null").select("u", "v"), "crowd")
+        reps = marks.groupBy("mark").agg(F.min("id").alias("rep"))
+        r = lambda c: reps.select(F.col("mark").alias(c), F.col("rep").alias(f"{c}_rep"))
+        stars = marks.join(busy, "mark").select("rep", "id").union(crowd.join(r("u"), "u").join(r("v"), "v").select("u_rep", "v_rep"))
+        pair = F.xxhash64("u", "v").bitwiseAND(F.lit(-4))
+        hot = hot.union(marks.join(busy, "mark").select(F.col("mark").bitwiseAND(F.lit(-4)), "id", "mark"))
+        hot = hot.union(crowd.select(pair.alias("key"), F.explode(F.array("u", "v")).alias("mark")).join(marks, "mark").select("key", "id", "mark"))
+    other = few.select("mark", F.col("id").alias("v"))
+    pairs = apart_.join(at("u"), "u").join(at("v"), "v").select("u_id", "v_id").union(few.withColumnRenamed("id", "u").join(other, "mark").filter("u < v").select("u", "v"))
+    pairs = (pairs.union(stars) if stars is not None else pairs).toDF("a", "b")
+    return cut(pairs.filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "pairs"), cut(hot, "hot")
+
+
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, carry: Column | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_lines, removed (places of the lines that go, ascending), kept (the text left), and carried if carry is given.
 
@@ -404,32 +470,20 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words: in
     key = F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h")
     docs = docs.select(*key, *([carry.alias("carried")] if carry is not None else []))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = cut(docs.select("doc_id", "text", "h").filter("text is not null").mapInArrow(_describe(least_words, 4 * parts), _LINES), "lines")
-    lines = found.filter("id is not null")
-    distinct = cut(lines.groupBy("id").agg(F.min(F.struct("doc_id", "h", "place")).alias("first"), F.min("sig").alias("sig"), F.min("other").alias("other")), "distinct")
-    blobs = found.filter("blob is not null").select("part", "blob").repartition(parts, "part").sortWithinPartitions("part")
-    ties = blobs.mapInArrow(_tied, "u long, v long")
-    ties = ties.union(found.filter("sig <> other").select("sig", "other"))
-    ties = ties.union(distinct.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("sig", F.col("sig").alias("v")))
-    ties = cut(ties.toDF("u", "v"), "ties")
-    near = components(ties)
-    sets = cut(distinct.join(near, F.col("sig") == F.col("node")).select(F.col("id").alias("doc_id"), F.col("component").alias("set_id"), "first", "sig", "other"), "sets")
-
-    wanted = sets.select(F.col("doc_id").alias("id"), "sig", "other", "first.*").groupBy(F.col("doc_id").alias("d"), F.col("h").alias("dh")).agg(F.collect_list(F.struct("place", "id", "sig", "other")).alias("wanted"))
+    found = docs.select("doc_id", "text", "h").filter("text is not null").mapInArrow(_describe(least_words, 4 * parts), _LINES)
+    found = cut(found.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_tied(HOT), _LINES), "lines")
+    lines, ties = found.filter("id is not null"), found.filter("id is null")
+    distinct = cut(lines.groupBy("id").agg(F.min(F.struct("doc_id", "h", "place")).alias("first"), F.min("sig").alias("sig"), F.min("other").alias("other"), F.count(F.lit(1)).alias("n")), "distinct")
+    near, hot = _candidates(distinct, ties)
+
+    ids = near.select(F.explode(F.array("u", "v")).alias("id")).union(hot.select("doc_id")).distinct()
+    wanted = distinct.join(ids, "id").select("id", "first.*").groupBy(F.col("doc_id").alias("d"), F.col("h").alias("dh")).agg(F.collect_list(F.struct("place", "id")).alias("wanted"))
     here = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("dh"))
     spread = docs.select("doc_id", "text", "h").hint("merge").join(wanted, here)
-    texts = spread.select(F.explode("wanted").alias("w"), F.split("text", "\n").alias("t")).select(F.col("w.id").alias("doc_id"), "w.sig", "w.other", F.get("t", F.col("w.place").cast("int")).alias("text"))
-
-    def pairs(large: DataFrame) -> DataFrame:
-        marks = sets.join(large, "doc_id").select("doc_id", F.explode(F.array_distinct(F.array("sig", "other"))).alias("mark"))
-        reps = marks.groupBy("mark").agg(F.min("doc_id").alias("rep"))
-        rep = lambda c: reps.select(F.col("mark").alias(c), F.col("rep").alias(f"{c}_rep"))
-        between = ties.join(rep("u"), "u").join(rep("v"), "v").select("u_rep", "v_rep")
-        return between.union(marks.join(reps, "mark").select("rep", "doc_id")).toDF("u", "v").filter("u <> v").distinct()
-
-    groups = linked(sets.select("doc_id", "set_id"), cut(texts, "line-texts"), _confirm(similarity), pairs=pairs)
+    texts = spread.select(F.explode("wanted").alias("w"), F.split("text", "\n").alias("t")).select(F.col("w.id").alias("doc_id"), F.get("t", F.col("w.place").cast("int")).alias("text")).dropDuplicates(["doc_id"])
+    groups = linked_pairs(near, hot, cut(texts, "line-texts"), _confirm(similarity), _confirm_hot(similarity))
 
-    whole = distinct.join(groups.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("g"), "first")
+    whole = distinct.join(groups.withColumnRenamed("node", "id"), "id", "left").filter("n > 1 or component is not null").select("id", F.coalesce("component", "id").alias("g"), "first")
     best = whole.groupBy("g").agg(F.min("first").alias("best"))
     keep = whole.join(best, "g").select("id", "best")
     gone = lines.join(keep, "id").filter(F.struct("doc_id", "h", "place") != F.col("best")).groupBy(F.col("doc_id").alias("d"), F.col("h").alias("dh")).agg(F.array_sort(F.collect_set("place")).alias("removed"))

@@ -11,7 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quillstone.llm import chat, graph, lines, media, mixing, near_dedup, packing, pii, quality, suffix_dedup, topk
+from quillstone.llm import chat, graph, lines, links, media, mixing, near_dedup, packing, pii, quality, suffix_dedup, topk
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h long, id long, key string"
 WORDS = "alpha beta gamma delta eps zeta eta theta iota kappa lambda mu nu xi pi rho sigma tau phi chi psi omega".split()
@@ -166,6 +166,41 @@ def test_lines_of_large_sets(spark, monkeypatch):
     assert got == sorted(want, key=str)
 
 
+def test_lines_do_not_depend_on_the_size_of_sets(spark, monkeypatch):
+    """Every two lines that share a key and have near sketches are compared, in sets of any size and for hot keys, so a row's links are those of a table of its own."""
+    rng = random.Random(8)
+    parts = ["the", "on", "er", "tion", "ha", "re", "nd"]
+    rows = sorted({" ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(2, 4))) for _ in range(2500)})
+    rows = [t for t in rows if len(t) < lines.LONG]
+    data = np.frombuffer("".join(rows).encode(), np.uint8)
+    some = lines.Lines(data, np.concatenate([[0], np.cumsum([len(t) for t in rows])]))
+    key, sig = lines.signed(some, np.arange(len(rows)))[2:]
+    assert len(key) == lines.KEYS * len(rows)  # three characters only
+    buckets = defaultdict(list)
+    for n, k in enumerate(key.tolist()):
+        buckets[k].append(n // lines.KEYS)
+    group = list(range(len(rows)))
+    for i, j in sorted({(i, j) for b in buckets.values() for i in b for j in b if i < j}):
+        if group[i] != group[j] and lines.apart(sig[i * lines.KEYS], sig[j * lines.KEYS]) <= lines.SHORT_RADIUS and lines.edit_distance(rows[i], rows[j]) <= 0.2 * max(len(rows[i]), len(rows[j])):
+            low, high = sorted((group[i], group[j]))
+            group = [low if g == high else g for g in group]
+    want = {i for i, g in enumerate(group) if i != g}
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    for hot in (lines.HOT, 3):
+        monkeypatch.setattr(lines, "HOT", hot)
+        monkeypatch.setattr(links, "HOT_BLOCK", 8, raising=False)
+        assert {r.doc_id for r in lines.dedup_lines(docs).collect() if r.removed} == want and want
+
+
+def test_crowded_sketches(spark, monkeypatch):
+    """Lines of the same word pairs, so of one sketch: each is compared with all, whatever leads them."""
+    monkeypatch.setattr(lines, "HOT", 2)
+    a, b = "one two three four five six seven eight nine ten", "ab cd ef gh ij kl mn op qr st uv wx"
+    rows = [f"{a} {a} {x}" for x in ("one", "one two", "one two three", "one two three four")] + [f"{b} {b} {b[: 3 * k - 1]}" for k in range(1, 6)] + ["free line that stands for itself alone here"]
+    got = {r.doc_id for r in lines.dedup_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect() if r.removed}
+    assert got == {1, 2, 3, 5, 6, 7, 8}
+
+
 def test_short_lines(spark):
     rows = [(1, "Ietzte.\nfirst of these\n\n--"), (2, "ietzte\nAll rights reserved.\n\n--"), (3, "all rights reserved\nyes"), (4, "Yes!\nno")]
     got = {r.doc_id: r.removed for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
