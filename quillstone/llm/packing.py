@@ -22,8 +22,8 @@ CAPACITY = 4096
 END_ID = 2
 #: A piece may stay whole if it leaves at most this part of its slot empty; else it is cut to the next smaller slot.
 SLACK = 128
-#: Words, and pieces of words, whose ids a task keeps; they go with the task.
-CACHED_WORDS = 200_000
+#: Words, and pieces of words, whose ids a task keeps; they go with the task. A piece costs more to find again.
+CACHED_WORDS, CACHED_PIECES = 200_000, 500_000
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, slots int, part int, k long"
 _cache: dict[int, bytes] = {}
 _kept: dict[str, bytes] = {}
@@ -67,19 +67,23 @@ _ODD_SPACE = regex.compile(r"[^\S\n]|[\x1c-\x1f]")
 def _encode(words: list[bytes], tokenizer: Tokenizer, added: regex.Pattern) -> list[bytes]:
     """Ids of each word. The words are normalised together and looked up piece by piece; the pieces' ids are kept.
     A batch that holds other white space than the words' own ends goes through the tokenizer as it is."""
-    texts = [w.decode("utf-8", "replace") for w in words]
-    joined = "\n".join(texts)
+    joined = b"\n".join(words).decode("utf-8", "replace")
     if added.search(joined):
+        texts = [w.decode("utf-8", "replace") for w in words]
         odd = [bool(added.search(x)) for x in texts]
         plain = iter(_encode([w for w, o in zip(words, odd, strict=True) if not o], tokenizer, added))
         return [np.array(tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() if o else next(plain) for x, o in zip(texts, odd, strict=True)]
-    parts = tokenizer.normalizer.normalize_str(joined).split(" ") if texts and not _ODD_SPACE.search(joined) else []
-    if len(parts) != len(texts):
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    parts = tokenizer.normalizer.normalize_str(joined).split(" ") if words and not _ODD_SPACE.search(joined) else []
+    if len(parts) != len(words):
+        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
     model, out = tokenizer.model, []
-    if len(_kept) > CACHED_WORDS:
+    if len(_kept) > CACHED_PIECES:
         _kept.clear()
     for part in parts:
+        # a piece by itself is one piece
+        if (got := _kept.get(part)) is not None:
+            out.append(got)
+            continue
         ids = b""
         for piece in _SPLIT.findall(part):
             if (got := _kept.get(piece)) is None:

@@ -471,3 +471,12 @@ def test_quality(spark, empty):
     assert all(got[i].kept for i in range(len(good))) and got[len(rows) - 1].p_bad is None and got[len(rows) - 3].kept
     assert sum(not got[len(good) + k].kept for k in range(len(bad))) >= 0.8 * len(bad)
     assert quality.classify(empty).count() == 0
+
+
+def test_a_piece_of_a_word_is_one_piece_by_itself():
+    """So pieces that are known need no split; they outlast more words than a task keeps."""
+    rng = random.Random(2)
+    for _ in range(2000):
+        word = "".join(rng.choice("'stremlvd1!?-é") for _ in range(rng.randrange(9)))
+        assert all(packing._SPLIT.findall(x) == [x] for x in packing._SPLIT.findall(word))
+    assert packing.CACHED_PIECES > packing.CACHED_WORDS
