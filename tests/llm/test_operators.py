@@ -11,7 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quillstone.llm import chat, graph, lines, links, media, mixing, near_dedup, packing, pii, quality, suffix_dedup, topk
+from quillstone.llm import chat, graph, lines, links, media, mixing, near_dedup, packing, pii, quality, storage, suffix_dedup, topk
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h long, id long, key string"
 WORDS = "alpha beta gamma delta eps zeta eta theta iota kappa lambda mu nu xi pi rho sigma tau phi chi psi omega".split()
@@ -240,6 +240,24 @@ def test_components(spark, monkeypatch):
     assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize("held", [64, 1 << 20])
+def test_components_meet_their_nodes_once(spark, monkeypatch, held):
+    """However many rounds components take, one table of all nodes is joined and written."""
+    monkeypatch.setattr(graph, "HELD", held)
+    sizes = []
+
+    def cut(df, name):
+        sizes.append((name, (out := storage.cut(df, name)).count()))
+        return out
+
+    monkeypatch.setattr(graph, "cut", cut)
+    edges = [(i, i + 1) for i in range(60)] + [(1000 + i // 5, 2000 + i) for i in range(100)]
+    got = graph.components(spark.createDataFrame(edges, "u long, v long").repartition(5)).collect()
+    want = {i: 0 for i in range(61)} | {1000 + i: 1000 + i for i in range(20)} | {2000 + i: 1000 + i // 5 for i in range(100)}
+    assert {r.node: r.component for r in got} == want and len(got) == len(want)
+    assert [n for name, n in sizes if name == "labels"].count(len(want)) == 1
+
+
 def test_near_duplicates(docs, empty, texts):
     got = {r.doc_id: r for r in near_dedup.near_duplicates(docs).collect()}
     sets = {}
