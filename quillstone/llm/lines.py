@@ -18,9 +18,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .graph import components
+from .edits import Texts
 from .kernels import U, Rolling, chunks, mix, word_bounds
-from .links import block_pairs, linked_pairs, spanning
+from .links import block_pairs, linked_pairs, spanning_many
 from .storage import cut, table
 
 #: Lines of fewer words stay as they are. Linked lines have an edit similarity of at least SIMILARITY.
@@ -33,6 +33,8 @@ KEYS, OF = 19, 3
 #: Least hashes of a line; a bit of each makes its sketch. Lines that share a key are candidates if their sketches are at most RADIUS bits apart, SHORT_RADIUS for three characters.
 LEVEL_BITS = 6
 FUNCTIONS, RADIUS, SHORT_RADIUS = 64 - LEVEL_BITS, 22, 20
+#: Pairs of lines of up to so many characters are compared together.
+BATCHED = 2048
 #: Words that are aligned to bound a distance; longer stretches go to the exact distance at once, which takes less then.
 ALIGNED = 200
 #: Records (key, sketch), or characters of lines in parts, that a task holds. Keys and sketches of more than HOT are compared with their texts at hand, leaders first.
@@ -372,6 +374,23 @@ def _same(lines: list[str], similarity: float):
     return same
 
 
+def _near(lines: list[str], similarity: float):
+    """near(i, j): which pairs of the lines have that edit similarity. Those of up to BATCHED characters go together, longer ones each by itself."""
+    texts, alone = Texts([t if len(t) <= BATCHED else "" for t in lines]), _same(lines, similarity)
+    chars = np.array([len(t) for t in lines], np.int64)
+
+    def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        size = np.maximum(chars[i], chars[j])
+        out = np.zeros(len(i), bool)
+        some = np.flatnonzero(size <= BATCHED)
+        out[some] = texts.within(i[some], j[some], (1 - similarity) * size[some] + 1e-9)
+        for k in np.flatnonzero(size > BATCHED).tolist():
+            out[k] = alone(int(i[k]), int(j[k]))
+        return out
+
+    return near
+
+
 def _confirm(similarity: float):
     """Of rows with near, the candidates of a row."""
 
@@ -379,8 +398,8 @@ def _confirm(similarity: float):
         lines = [normalised(t or b"") for t in rows.column("text").cast(pa.binary()).to_pylist()]
         ids = rows.column("doc_id").to_pylist()
         at = {k: i for i, k in enumerate(ids)}
-        pairs = [(i, at[k]) for i, near in enumerate(rows.column("near").to_pylist()) for k in near or ()]
-        return spanning(ids, ids, pairs, _same(lines, similarity))
+        pairs = np.array([(i, at[k]) for i, near in enumerate(rows.column("near").to_pylist()) for k in near or ()], np.int64).reshape(-1, 2)
+        return spanning_many(ids, ids, [(pairs[:, 0], pairs[:, 1])], _near(lines, similarity))
 
     return links
 
@@ -389,25 +408,25 @@ def _confirm_hot(similarity: float):
     """Of rows that share a key, all with near sketches and known in different parts: those of two blocks x and y, or of one."""
 
     def links(rows: pa.Table, edges: list[int]) -> list[tuple[int, int]]:
-        out = []
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            some = rows.slice(lo, hi - lo)
-            lines = [normalised(t or b"") for t in some.column("text").cast(pa.binary()).to_pylist()]
-            key, x, y, block, mark, known = (some.column(c).to_numpy() for c in ("key", "x", "y", "block", "mark", "known"))
-            reach = int(_reach(key[:1])[0])
-            size = np.array([len(t) for t in lines])
-            mark = mark.view(U)
-
-            def pairs(key=key, x=x, y=y, block=block, mark=mark, known=known, reach=reach, size=size) -> Iterator[tuple[int, int]]:
-                for i in range(len(mark) - 1):
-                    far = apart(mark[i], mark[i + 1 :])
-                    ok = (far <= reach) & (known[i + 1 :] != known[i]) & (np.abs(size[i + 1 :] - size[i]) <= (1 - similarity) * np.maximum(size[i + 1 :], size[i]) + 1e-9)
-                    if x[0] != y[0]:
-                        ok &= block[i + 1 :] != block[i]
-                    yield from ((i, i + 1 + j) for j in np.flatnonzero(ok).tolist())
-
-            out += spanning(some.column("doc_id").to_pylist(), known.tolist(), pairs(), _same(lines, similarity))
-        return out
+        lines = [normalised(t or b"") for t in rows.column("text").cast(pa.binary()).to_pylist()]
+        ids = rows.column("doc_id").to_pylist()
+        key, x, y, block, mark, known = (rows.column(c).to_numpy() for c in ("key", "x", "y", "block", "mark", "known"))
+        reach = _reach(key)
+        size = np.array([len(t) for t in lines])
+        mark = mark.view(U)
+
+        def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                for i in range(lo, hi - 1):
+                    rest = slice(i + 1, hi)
+                    ok = (apart(mark[i], mark[rest]) <= reach[i]) & (known[rest] != known[i]) & (np.abs(size[rest] - size[i]) <= (1 - similarity) * np.maximum(size[rest], size[i]) + 1e-9)
+                    if x[i] != y[i]:
+                        ok &= block[rest] != block[i]
+                    j = i + 1 + np.flatnonzero(ok)
+                    if len(j):
+                        yield np.full(len(j), i), j
+
+        return spanning_many(ids, known.tolist(), pairs(), _near(lines, similarity))
 
     return links
 

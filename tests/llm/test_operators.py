@@ -11,7 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quillstone.llm import chat, graph, lines, links, media, mixing, near_dedup, packing, pii, quality, storage, suffix_dedup, topk
+from quillstone.llm import chat, edits, graph, lines, links, media, mixing, near_dedup, packing, pii, quality, storage, suffix_dedup, topk
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h long, id long, key string"
 WORDS = "alpha beta gamma delta eps zeta eta theta iota kappa lambda mu nu xi pi rho sigma tau phi chi psi omega".split()
@@ -201,6 +201,41 @@ def test_crowded_sketches(spark, monkeypatch):
     assert got == {1, 2, 3, 5, 6, 7, 8}
 
 
+def test_edits_of_many_texts():
+    """Against the plain distance: sizes about multiples of 64, empty texts, unlike and like pairs, any limit."""
+    rng = random.Random(5)
+    texts = []
+    for size in (0, 1, 2, 30, 63, 64, 65, 127, 128, 129, 200, 330, 500):
+        for _ in range(6):
+            text = "".join(rng.choices("abcdé 中", k=size))
+            other = list(text)
+            for _ in range(rng.randint(0, size // 3 + 1)):
+                at = rng.randrange(len(other) + 1)
+                other[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "é"])
+            texts += [text, "".join(other)]
+    some = edits.Texts(texts)
+    pairs = [(k, k ^ 1) for k in range(len(texts))] + [(rng.randrange(len(texts)), rng.randrange(len(texts))) for _ in range(3000)]
+    i, j = np.array(pairs).T
+    far = np.array([lines.edit_distance(texts[a], texts[b]) for a, b in pairs])
+    for limit in (0.2 * np.maximum(some.size[i], some.size[j]) + 1e-9, far, far - 1, np.array([rng.randrange(400) for _ in pairs])):
+        assert (some.within(i, j, limit) == (far <= limit)).all()
+
+
+def test_lines_of_hot_keys_are_compared_together(monkeypatch):
+    """Unlike lines of one hot key are told apart without a distance for each pair; the links are those of the plain distance."""
+    rng = random.Random(6)
+    rows = [" ".join("".join(rng.choices("abcdef", k=6)) for _ in range(8)) for _ in range(60)]
+    rows += [t[:-3] + "xyz" for t in rows[:9]]
+    want = [(60 + k, k) for k in range(9)]
+    n = len(rows)
+    mark = np.full(n, 21, np.int64)
+    table = pa.table({"key": [8] * n, "x": [0] * n, "y": [0] * n, "block": [0] * n, "doc_id": range(n), "mark": mark, "known": range(n), "text": rows})
+    plain = {(j, i) for i in range(n) for j in range(i + 1, n) if lines.edit_distance(rows[i], rows[j]) <= 0.2 * 55}
+    assert plain == set(want)
+    monkeypatch.setattr(lines, "edit_distance", None)
+    assert sorted(lines._confirm_hot(lines.SIMILARITY)(table, [0, n])) == want
+
+
 def test_short_lines(spark):
     rows = [(1, "Ietzte.\nfirst of these\n\n--"), (2, "ietzte\nAll rights reserved.\n\n--"), (3, "all rights reserved\nyes"), (4, "Yes!\nno")]
     got = {r.doc_id: r.removed for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
