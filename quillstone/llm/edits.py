@@ -6,8 +6,10 @@ import numpy as np
 
 from .kernels import U
 
-#: Words of 64 characters of all pairs that are looked at together, and steps between looks at which pairs are decided.
-TOGETHER, STEPS = 1 << 13, 32
+#: Words of 64 characters of all pairs that are looked at together; up to FEW take about as long as none. Steps between looks at which pairs are decided.
+TOGETHER, FEW, STEPS = 1 << 13, 1 << 11, 32
+#: Characters that are compared at once where texts begin or end alike.
+STRIDE = 32
 _ONE, _TOP = U(1), U(63)
 
 
@@ -19,109 +21,155 @@ class Texts:
         self.size = np.array([len(t) for t in texts], np.int64)
         self.at = np.cumsum(self.size) - self.size
 
+    def _alike(self, a: np.ndarray, b: np.ndarray, most: np.ndarray, way: int) -> np.ndarray:
+        """How many codes from a[k] and b[k] on are the same, most[k] at most; backwards if way is -1."""
+        out = np.zeros(len(a), np.int64)
+        live = np.flatnonzero(most > 0)
+        last = len(self.code) - 1
+        while len(live):
+            spot = out[live, None] + np.arange(STRIDE)
+            x, y = (self.code[np.clip(c[live, None] + way * spot, 0, last)] for c in (a, b))
+            same = (x == y) & (spot < most[live, None])
+            run = np.where(same.all(1), STRIDE, same.argmin(1))
+            out[live] += run
+            live = live[run == STRIDE]
+        return out
+
     def within(self, i: np.ndarray, j: np.ndarray, limit: np.ndarray) -> np.ndarray:
         """Whether texts i[k] and j[k] have an edit distance of at most limit[k]."""
         swap = self.size[i] > self.size[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
-        m, n = self.size[i], self.size[j]
-        out = np.maximum(m, n) <= limit
-        # the distance of an empty text is the size of the other, no more than the difference of sizes
-        some = np.flatnonzero(~out & (n - m <= limit) & (m > 0))
-        words = (m[some] + 63) // 64
-        order = np.lexsort((n[some], words))
-        some, words = some[order], words[order]
+        out = self.size[j] <= limit
+        some = np.flatnonzero(~out & (self.size[j] - self.size[i] <= limit))
+        a, b, m, n = self.at[i[some]], self.at[j[some]], self.size[i[some]], self.size[j[some]]
+        same = self._alike(a, b, m, 1)
+        a, b, m, n = a + same, b + same, m - same, n - same
+        same = self._alike(a + m - 1, b + n - 1, m, -1)
+        m, n = m - same, n - same
+        # the distance of an empty text is the size of the other, here no more than the difference of sizes
+        out[some] = n <= limit[some]
+        left = np.flatnonzero(~out[some])
+        some, a, b, m, n = some[left], a[left], b[left], m[left], n[left]
+        order = np.argsort(n, kind="stable")
+        some, a, b, m, n = (c[order] for c in (some, a, b, m, n))
+        limit = np.floor(limit[some]).astype(np.int64)
+        words = (n + 63) // 64
         lo = 0
         while lo < len(some):
-            # texts of up to a quarter more words go along
-            hi = min(int(np.searchsorted(words, words[lo] * 5 // 4, "right")), lo + max(1, TOGETHER // int(words[lo])))
-            k = some[lo:hi]
-            out[k] = self._near(i[k], j[k], limit[k], int(words[hi - 1]))
+            # an eighth longer ones go along, and if there are few pairs, longer ones still
+            most = np.searchsorted(n, max(64, n[lo] * 9 // 8), "right") - lo
+            cells = np.arange(1, min(len(some) - lo, TOGETHER) + 1) * words[lo : lo + TOGETHER]
+            hi = lo + int(max(1, min(most, np.searchsorted(cells, TOGETHER, "right")), np.searchsorted(cells, FEW, "right")))
+            k = slice(lo, hi)
+            out[some[k]] = self._near(a[k], m[k], b[k], n[k], limit[k], int((m[k].max() + 63) // 64))
             lo = hi
         return out
 
-    def _matches(self, rows: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(bits where each row has each code, flat by row, word and code; known codes; of each code from 1 on; 0 is in none)."""
-        size = self.size[rows]
+    def _matches(self, at: np.ndarray, size: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bits where each row has each code, flat by row, word and code; known codes; where each row and word starts). Codes count from 1, 0 is in none."""
         spot = np.arange(64 * w)
         inside = spot < size[:, None]
-        code = np.zeros((len(rows), 64 * w), np.uint32)
-        code[inside] = self.code[(self.at[rows][:, None] + spot)[inside]]
-        known, at = np.unique(code[inside], return_inverse=True)
-        place = np.zeros(code.shape, np.int64)
-        place[inside] = at + 1
-        slot = np.arange(len(rows) * w).reshape(len(rows), w) * (len(known) + 1)
-        bits = np.zeros(len(rows) * w * (len(known) + 1), U)
-        place = place.reshape(len(rows), w, 64)
+        code = self.code[(at[:, None] + spot)[inside]]
+        known, of = np.unique(code, return_inverse=True)
+        place = np.zeros((len(at), 64 * w), np.int64)
+        place[inside] = of + 1
+        slot = np.arange(len(at) * w).reshape(len(at), w) * (len(known) + 1)
+        bits = np.zeros(len(at) * w * (len(known) + 1), U)
+        place = place.reshape(len(at), w, 64)
         for b in range(64):
             bits[slot + place[:, :, b]] |= _ONE << U(b)
         bits.reshape(-1, len(known) + 1)[:, 0] = 0
         return bits, known, slot
 
-    def _near(self, i: np.ndarray, j: np.ndarray, limit: np.ndarray, w: int) -> np.ndarray:
-        """As within, for texts i of up to w words each, none longer than its text j. A word of text i is a step behind the word before it,
-        so all words take their step together. Texts j end together; before its start a text takes no part: nothing matches, nothing is carried in."""
-        rows, row = np.unique(i, return_inverse=True)
-        bits, known, slot = self._matches(rows, w)
-        n = self.size[j]
-        steps = int(n.max())
+    def _near(self, a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray, limit: np.ndarray, w: int) -> np.ndarray:
+        """As within, for m codes from a on, of up to w words each, against n from b on, not fewer. A word is a step behind the word before it,
+        so all words take their step together. Longer texts end together; before its start one takes no part: nothing matches, nothing is carried in.
+        Words take steps only while some cell of theirs is within limit of the diagonal; cells beyond count as paths along its edge, never too near."""
+        key, first, row = np.unique(a * (int(m.max()) + 1) + m, return_index=True, return_inverse=True)
+        bits, known, slot = self._matches(a[first], m[first], w)
+        steps, many = int(n.max()), len(m)
         # the last word comes first, as it reads the earliest character; text[s : s + w] is what the words read in step s
-        text = np.zeros((w - 1 + steps + w - 1, len(j)), np.int64)
+        text = np.zeros((w - 1 + steps + w - 1, many), np.int64)
         spot = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        code = self.code[np.repeat(self.at[j], n) + spot]
+        code = self.code[np.repeat(b, n) + spot]
         place = np.minimum(np.searchsorted(known, code), len(known) - 1)
-        text[np.repeat(w - 1 + steps - n, n) + spot, np.repeat(np.arange(len(j)), n)] = np.where(known[place] == code, place + 1, 0)
+        text[np.repeat(w - 1 + steps - n, n) + spot, np.repeat(np.arange(many), n)] = np.where(known[place] == code, place + 1, 0)
         base = np.ascontiguousarray(slot[row][:, ::-1].T)
-        start, top = steps - n, (self.size[i] - 1).astype(U) & _TOP
-        # a text's distance is counted at its last row, which is in its word number last, up to step end
-        last = (self.size[i] - 1) // 64
-        end, cell = steps - 1 + last, (w - 1 - last) * len(j) + np.arange(len(j))
+        # a distance is counted at the last row, which is in word number last, up to step end; until that word takes part it is not known
+        start, top, last = steps - n, (m - 1).astype(U) & _TOP, (m - 1) // 64
+        end, cell = steps - 1 + last, (w - 1 - last) * many + np.arange(many)
         even = bool((last == w - 1).all())
-        score, who = self.size[i].copy(), np.arange(len(j))
-        out = np.zeros(len(j), bool)
-        up, down = np.full((w, len(j)), ~U(0)), np.zeros((w, len(j)), U)
-        more, less = np.zeros((w, len(j)), U), np.zeros((w, len(j)), U)
+        score, who = m.copy(), np.arange(many)
+        out = np.zeros(many, bool)
+        up, down = np.full((w, many), ~U(0)), np.zeros((w, many), U)
+        more, less = np.zeros((w, many), U), np.zeros((w, many), U)
+        below = np.full((w, many), U(64))
         hit, x, y, z = (np.empty_like(up) for _ in range(4))
         at = np.empty_like(base)
+        early, late = int((start - limit).min()), int((start + limit).max())
+        gone, come = 0, 1
         for s in range(steps + w - 1):
-            np.add(base, text[s : s + w], out=at)
-            np.take(bits, at, out=hit, mode="clip")
-            more[-1] = start <= s
-            np.bitwise_or(hit, down, out=x)
-            hit |= less
-            np.bitwise_and(hit, up, out=y)
-            y += up
-            y ^= up
-            y |= hit
+            if come < w and s >= max(come, 65 * come + early):
+                here = w - 1 - come
+                at_edge = below[here + 1] - more[here] + less[here]
+                below[here] = at_edge + U(64)
+                ends = last == come
+                score[ends] = at_edge.view(np.int64)[ends] + m[ends] - 64 * come
+                come += 1
+            if gone < come - 1 and s > 65 * gone + 63 + late:
+                gone += 1
+                more[w - 1 - gone], less[w - 1 - gone] = 1, 0
+            if not gone:
+                more[-1] = start <= s
+            r, inner = slice(w - come, w - gone), slice(max(w - come, 1), w - gone)
+            carried = slice(inner.start - 1, inner.stop - 1)
+            hit_, x_, y_, z_, up_, down_, more_, less_, at_ = (c[r] for c in (hit, x, y, z, up, down, more, less, at))
+            np.add(base[r], text[s + r.start : s + r.stop], out=at_)
+            np.take(bits, at_, out=hit_, mode="clip")
+            np.bitwise_or(hit_, down_, out=x_)
+            hit_ |= less_
+            np.bitwise_and(hit_, up_, out=y_)
+            y_ += up_
+            y_ ^= up_
+            y_ |= hit_
             # plus in z, minus in y
-            np.bitwise_or(y, up, out=z)
-            np.invert(z, out=z)
-            z |= down
-            y &= up
-            plus, minus = (z[0], y[0]) if even else (z.ravel()[cell], y.ravel()[cell])
-            step = ((plus >> top) & _ONE).view(np.int64) - ((minus >> top) & _ONE).view(np.int64)
-            score += step if s < steps else step * (s <= end)
-            np.left_shift(z, _ONE, out=hit)
-            hit |= more
-            np.left_shift(y, _ONE, out=up)
-            up |= less
-            np.right_shift(z[1:], _TOP, out=more[:-1])
-            np.right_shift(y[1:], _TOP, out=less[:-1])
-            np.bitwise_and(hit, x, out=down)
-            hit |= x
-            np.invert(hit, out=hit)
-            up |= hit
+            np.bitwise_or(y_, up_, out=z_)
+            np.invert(z_, out=z_)
+            z_ |= down_
+            y_ &= up_
+            if even and come == w:
+                score += ((z[0] >> top) & _ONE).view(np.int64)
+                score -= ((y[0] >> top) & _ONE).view(np.int64)
+            elif not even:
+                step = ((z.ravel()[cell] >> top) & _ONE).view(np.int64) - ((y.ravel()[cell] >> top) & _ONE).view(np.int64)
+                score += step * ((s <= end) & (last < come))
+            np.left_shift(z_, _ONE, out=hit_)
+            hit_ |= more_
+            np.left_shift(y_, _ONE, out=up_)
+            up_ |= less_
+            if w > 1:
+                np.right_shift(z[inner], _TOP, out=more[carried])
+                np.right_shift(y[inner], _TOP, out=less[carried])
+                below[inner] += more[carried]
+                below[inner] -= less[carried]
+            np.bitwise_and(hit_, x_, out=down_)
+            hit_ |= x_
+            np.invert(hit_, out=hit_)
+            up_ |= hit_
             if s % STEPS == STEPS - 1:
                 left = np.maximum(end - s, 0)
-                yes = score + left <= limit
-                open_ = ~yes & (score - left <= limit)
+                counted = last < come
+                yes = counted & (score + left <= limit)
+                open_ = ~yes & (~counted | (score - left <= limit))
                 if (c := int(open_.sum())) <= 0.75 * len(who):
                     out[who[yes]] = True
                     if not c:
                         return out
-                    who, start, top, score, limit, end, last = (a[open_] for a in (who, start, top, score, limit, end, last))
+                    who, start, top, score, limit, end, last, m = (v[open_] for v in (who, start, top, score, limit, end, last, m))
                     cell = (w - 1 - last) * len(who) + np.arange(len(who))
-                    text, base, up, down, more, less = (np.ascontiguousarray(a[:, open_]) for a in (text, base, up, down, more, less))
+                    text, base, up, down, more, less, below = (np.ascontiguousarray(v[:, open_]) for v in (text, base, up, down, more, less, below))
                     hit, x, y, z = (np.empty_like(up) for _ in range(4))
                     at = np.empty_like(base)
+                    early, late = int((start - limit).min()), int((start + limit).max())
         out[who] = score <= limit
         return out
