@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
-from .kernels import U
+from .kernels import U, _tables, mix
 
 #: Words of 64 characters of all pairs that are looked at together; up to FEW take about as long as none. Steps between looks at which pairs are decided.
 TOGETHER, FEW, STEPS = 1 << 13, 1 << 11, 32
 #: Characters that are compared at once where texts begin or end alike.
 STRIDE = 32
+#: Classes of characters that are counted, counts that are compared at once, and characters that are counted or hashed at once.
+CLASSES, COUNTED, HASHED = 64, 1 << 18, 1 << 19
 _ONE, _TOP = U(1), U(63)
 
 
@@ -20,6 +24,8 @@ class Texts:
         self.code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         self.size = np.array([len(t) for t in texts], np.int64)
         self.at = np.cumsum(self.size) - self.size
+        self.counts: np.ndarray | None = None
+        self.words: tuple[np.ndarray, ...] | None = None
 
     def _alike(self, a: np.ndarray, b: np.ndarray, most: np.ndarray, way: int) -> np.ndarray:
         """How many codes from a[k] and b[k] on are the same, most[k] at most; backwards if way is -1."""
@@ -35,12 +41,79 @@ class Texts:
             live = live[run == STRIDE]
         return out
 
+    def _some(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first text, end text, their codes, their sizes), whole texts of about HASHED codes each."""
+        ends, lo = self.at + self.size, 0
+        while lo < len(ends):
+            hi = max(lo + 1, int(np.searchsorted(ends, self.at[lo] + HASHED, "right")))
+            yield lo, hi, self.code[self.at[lo] : ends[hi - 1]], self.size[lo:hi]
+            lo = hi
+
+    def _unlike(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """At least so many characters of the longer of texts i[k] and j[k] are none of the other's, each counted as often as it is there: no more than their distance."""
+        if self.counts is None:
+            self.counts = np.zeros((len(self.size), CLASSES), np.int16 if self.size.max(initial=0) < 1 << 15 else np.int64)
+            for lo, hi, code, size in self._some():
+                self.counts[lo:hi] = np.bincount(np.repeat(np.arange(hi - lo) * CLASSES, size) + code % CLASSES, minlength=(hi - lo) * CLASSES).reshape(-1, CLASSES)
+        out = np.zeros(len(i), np.int64)
+        step = COUNTED // CLASSES
+        for k in range(0, len(i), step):
+            x, y = self.counts[i[k : k + step]], self.counts[j[k : k + step]]
+            out[k : k + step] = np.abs(x - y).sum(1, dtype=np.int64)
+        return (out + np.abs(self.size[i] - self.size[j])) // 2
+
+    def _split(self) -> tuple[np.ndarray, ...]:
+        """(hashes of the words of all texts, their sizes, where each text's words start, sums of sizes with a space each)."""
+        if self.words is None:
+            words, sizes, many = [], [], []
+            for lo, hi, some, chars in self._some():
+                code = np.full(len(some) + hi - lo, 32, U)
+                code[np.arange(len(some)) + np.repeat(np.arange(hi - lo), chars)] = some
+                stop = np.flatnonzero(code == 32)
+                start = np.concatenate([[0], stop[:-1] + 1])
+                up, down = _tables(len(code) + 1)
+                sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(code) * up[: len(code)])])
+                words.append(mix((sums[stop] - sums[start]) * down[start]))
+                sizes.append(stop - start)
+                many.append(np.diff(np.searchsorted(stop, np.concatenate([[0], np.cumsum(chars + 1)]))))
+            size = np.concatenate(sizes)
+            self.words = np.concatenate(words), size, np.concatenate([[0], np.cumsum(np.concatenate(many))]), np.concatenate([[0], np.cumsum(size + 1)])
+        return self.words
+
+    def _typed(self, i: np.ndarray, j: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """Whether texts i[k] and j[k] become alike within limit[k] if words that differ are typed anew, left out or put in, as the next words suggest; if not, nothing is known."""
+        word, size, first, sums = self._split()
+        out, who, left = np.zeros(len(i), bool), np.arange(len(i)), limit.astype(np.float64)
+        p, q, p_end, q_end = first[i], first[j], first[i + 1], first[j + 1]
+        last = len(word) - 1
+        while len(who):
+            ended = (p == p_end) | (q == q_end)
+            if ended.any():
+                rest = sums[p_end] - sums[p] + sums[q_end] - sums[q]
+                out[who[ended & (rest <= left)]] = True
+                who, left, p, q, p_end, q_end = (c[~ended] for c in (who, left, p, q, p_end, q_end))
+            x, y = np.minimum(p + 1, last), np.minimum(q + 1, last)
+            differ = word[p] != word[q]
+            both = ~differ | (word[x] == word[y]) & (x < p_end) & (y < q_end)
+            less = ~both & (word[x] == word[q]) & (x < p_end)
+            more = ~both & ~less & (word[p] == word[y]) & (y < q_end)
+            left -= differ * np.where(less, size[p] + 1, np.where(more, size[q] + 1, np.maximum(size[p], size[q])))
+            p, q = p + ~more, q + ~less
+            if (on := left >= 0).sum() < 0.75 * len(who):
+                who, left, p, q, p_end, q_end = (c[on] for c in (who, left, p, q, p_end, q_end))
+        return out
+
     def within(self, i: np.ndarray, j: np.ndarray, limit: np.ndarray) -> np.ndarray:
         """Whether texts i[k] and j[k] have an edit distance of at most limit[k]."""
         swap = self.size[i] > self.size[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
         out = self.size[j] <= limit
         some = np.flatnonzero(~out & (self.size[j] - self.size[i] <= limit))
+        if not len(some):
+            return out
+        some = some[self._unlike(i[some], j[some]) <= limit[some]]
+        out[some] = self._typed(i[some], j[some], limit[some])
+        some = some[~out[some]]
         a, b, m, n = self.at[i[some]], self.at[j[some]], self.size[i[some]], self.size[j[some]]
         same = self._alike(a, b, m, 1)
         a, b, m, n = a + same, b + same, m - same, n - same

@@ -396,10 +396,10 @@ def _confirm(similarity: float):
 
     def links(rows: pa.Table, edges: list[int]) -> list[tuple[int, int]]:
         lines = [normalised(t or b"") for t in rows.column("text").cast(pa.binary()).to_pylist()]
-        ids = rows.column("doc_id").to_pylist()
-        at = {k: i for i, k in enumerate(ids)}
-        pairs = np.array([(i, at[k]) for i, near in enumerate(rows.column("near").to_pylist()) for k in near or ()], np.int64).reshape(-1, 2)
-        return spanning_many(ids, ids, [(pairs[:, 0], pairs[:, 1])], _near(lines, similarity))
+        ids, near = rows.column("doc_id").to_numpy(), rows.column("near").combine_chunks()
+        known, at = np.unique(ids, return_index=True)
+        pairs = pc.list_parent_indices(near).to_numpy().astype(np.int64), at[np.searchsorted(known, near.flatten().to_numpy())]
+        return spanning_many(ids, ids, [pairs], _near(lines, similarity))
 
     return links
 
@@ -498,8 +498,9 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words: in
     ids = near.select(F.explode(F.array("u", "v")).alias("id")).union(hot.select("doc_id")).distinct()
     wanted = distinct.join(ids, "id").select("id", "first.*").groupBy(F.col("doc_id").alias("d"), F.col("h").alias("dh")).agg(F.collect_list(F.struct("place", "id")).alias("wanted"))
     here = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("dh"))
-    spread = docs.select("doc_id", "text", "h").hint("merge").join(wanted, here)
-    texts = spread.select(F.explode("wanted").alias("w"), F.split("text", "\n").alias("t")).select(F.col("w.id").alias("doc_id"), F.get("t", F.col("w.place").cast("int")).alias("text")).dropDuplicates(["doc_id"])
+    # texts are not sorted, the other side is hashed; a text is split once, before its lines are taken
+    spread = docs.select("doc_id", "text", "h").join(wanted.hint("shuffle_hash"), here).select("wanted", F.split("text", "\n").alias("t"))
+    texts = spread.select(F.explode("wanted").alias("w"), "t").select(F.col("w.id").alias("doc_id"), F.get("t", F.col("w.place").cast("int")).alias("text")).dropDuplicates(["doc_id"])
     groups = linked_pairs(near, hot, cut(texts, "line-texts"), _confirm(similarity), _confirm_hot(similarity))
 
     whole = distinct.join(groups.withColumnRenamed("node", "id"), "id", "left").filter("n > 1 or component is not null").select("id", F.coalesce("component", "id").alias("g"), "first")
@@ -508,7 +509,7 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words: in
     gone = lines.join(keep, "id").filter(F.struct("doc_id", "h", "place") != F.col("best")).groupBy(F.col("doc_id").alias("d"), F.col("h").alias("dh")).agg(F.array_sort(F.collect_set("place")).alias("removed"))
     none = F.expr("array()").cast("array<bigint>")
     rest = ["carried"] if carry is not None else []
-    out = docs.hint("merge").join(gone, here, "left").select("doc_id", F.lit(0).cast("long").alias("n_lines"), F.coalesce("removed", none).alias("removed"), F.col("text").alias("kept"), *rest)
+    out = docs.join(gone.hint("shuffle_hash"), here, "left").select("doc_id", F.lit(0).cast("long").alias("n_lines"), F.coalesce("removed", none).alias("removed"), F.col("text").alias("kept"), *rest)
     return out.mapInArrow(_left, out.schema)
 
 

@@ -533,3 +533,59 @@ def test_a_piece_of_a_word_is_one_piece_by_itself():
         word = "".join(rng.choice("'stremlvd1!?-é") for _ in range(rng.randrange(9)))
         assert all(packing._SPLIT.findall(x) == [x] for x in packing._SPLIT.findall(word))
     assert packing.CACHED_PIECES > packing.CACHED_WORDS
+
+
+def test_distances_by_bounds(monkeypatch):
+    """Lines with other words, and lines of other characters, are told apart without a distance; the answers are those of the plain one."""
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(rng.randint(2, 9))) for _ in range(60)]
+    rows = [""]
+    for n in (1, 3, 9, 30, 120):
+        for _ in range(6):
+            words = rng.choices(vocabulary, k=n)
+            rows.append(" ".join(words))
+            words[rng.randrange(n)] = rng.choice(vocabulary)
+            rows.append(" ".join(words[1:] + ["new"] if n > 3 else words))
+            rows.append(rows[-1].replace("a", "e", 2) + "x")
+    i, j = (np.array(c) for c in zip(*((a, b) for a in range(len(rows)) for b in range(len(rows))), strict=True))
+    limit = np.array([0.2 * max(len(rows[a]), len(rows[b])) + 1e-9 for a, b in zip(i, j, strict=True)])
+    want = np.array([lines.edit_distance(rows[a], rows[b]) <= k for a, b, k in zip(i, j, limit, strict=True)])
+    for hashed in (edits.HASHED, 50):
+        monkeypatch.setattr(edits, "HASHED", hashed)
+        texts = edits.Texts(rows)
+        assert (texts.within(i, j, limit) == want).all()
+        typed = texts._typed(i, j, limit)
+        assert not (typed & ~want).any() and typed.sum() > 0.5 * want.sum()
+        assert not ((texts._unlike(i, j) > limit) & want).any()
+    monkeypatch.setattr(edits.Texts, "_near", None)
+    base = " ".join(vocabulary[:40])
+    pair = edits.Texts([base, base.replace(vocabulary[3], "other").replace(vocabulary[30], ""), "0123456789" * (len(base) // 10)])
+    assert pair.within(np.array([0, 0]), np.array([1, 2]), np.array([0.2 * len(base)] * 2)).tolist() == [True, False]
+
+
+def test_connected_pairs_are_not_compared():
+    """Of the pairs of a clique few are compared before the rest is known to be connected; pairs that are no links are all compared."""
+    n, asked = 60, []
+    i, j = np.triu_indices(n, 1)
+
+    def same(a, b):
+        asked.extend(zip(a.tolist(), b.tolist(), strict=True))
+        return a % 2 == b % 2
+
+    assert len(links.spanning_many(list(range(n)), list(range(n)), [(i, j)], lambda a, b: (same(a, b) | True))) == n - 1 and len(asked) < 2 * n
+    asked.clear()
+    got = links.spanning_many(list(range(n)), list(range(n)), [(i, j)], same)
+    assert sorted(got) == sorted([(k, k % 2) for k in range(2, n)])
+    assert {(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if a % 2 != b % 2} <= set(asked) and len(asked) == len(set(asked))
+
+
+def test_large_sets_are_dealt_by_both_ends(spark, monkeypatch):
+    """A set of many pairs is confirmed in blocks; its links are those of the whole set."""
+    rng = random.Random(6)
+    words = [f"word{k}" for k in range(12)]
+    rows = [" ".join(words[:k] + [f"x{rng.randrange(99)}"] + words[k + 1 :]) for k in rng.choices(range(12), k=40)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    want = sorted(lines.dedup_lines(docs).select("doc_id", "kept").collect())
+    monkeypatch.setattr(links, "DEALT", 3)
+    assert sorted(lines.dedup_lines(docs).select("doc_id", "kept").collect()) == want
+    assert sum(r.kept == "" for r in want) > 20
