@@ -419,6 +419,47 @@ def test_packing_control_strings(spark):
     assert sorted(r.ids_crc32 for r in got) == want
 
 
+def _ids(rows):
+    raw = [r if isinstance(r, bytes) else r.encode() for r in rows]
+    offsets = np.cumsum([0, *map(len, raw)])
+    ids, at = packing.token_ids(np.frombuffer(b"".join(raw), np.uint8), offsets, public_tokenizers.path("word_bpe_49k.json"))
+    return [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
+
+
+def _plain_ids(rows):
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    return [e.ids + [2] for e in t.encode_batch([r.decode("utf-8", "replace") if isinstance(r, bytes) else r for r in rows], add_special_tokens=False)]
+
+
+def test_packing_takes_plain_words_by_pieces(monkeypatch):
+    """Words of Latin letters, digits and marks are not encoded one by one: their pieces are, each once."""
+    rng, calls = random.Random(6), []
+    rows = [" ".join(rng.choice(("Über", "l'eau", "we'Re", "x''s", "it's's", "naïve")) + rng.choice("0!,.?-") + str(rng.randrange(10**6)) for _ in range(400)) for _ in range(20)]
+    packing._forget()
+    monkeypatch.setattr(packing, "_encode", lambda *_: pytest.fail("encoded as words"))
+    new = packing._new_pieces
+    monkeypatch.setattr(packing, "_new_pieces", lambda units, start, width, t: calls.append(len(start)) or new(units, start, width, t))
+    want = _plain_ids(rows)
+    assert _ids(rows) == want and _ids(rows[::-1]) == want[::-1]
+    assert len(calls) == 1 and calls[0] < 60
+    packing._forget()
+
+
+def test_packing_odd_texts(monkeypatch):
+    """All characters, invalid bytes, ends of rows, marks that compose, control strings; also when little is kept."""
+    characters = [chr(c) for c in range(0x3000)]
+    rows = characters + [f"a{c}b {c}{c}1{c}'{c}s" for c in characters] + [b"\xc3", b"\xa9", b"a\xe6\xbc b", b"\xff\xfe x", b"ok \xed\xa0\x80z", b"", b"\xf0\x9f\x98 q"]
+    assert _ids(rows) == _plain_ids(rows)
+    assert _ids([]) == [] and _ids([" ", ""]) == [[2], [2]]
+    rng, some = random.Random(7), [*"'''sStTrReEvVmMlLdD  \n1289.,!éÉßİıǰȺ\x85\xa0\x1c\x00", "\u0301", "\u0307", "漢", "😀", "ª", "²", "’", "K", "ſ", "각", "ᄀ", "ᅡ", "<|endoftext|>", "<|ENDOFTEXT|>", "<|"]
+    monkeypatch.setattr(packing, "CACHED_PIECES", 50)
+    monkeypatch.setattr(packing, "CACHED_WORDS", 20)
+    for _ in range(60):
+        rows = ["".join(rng.choice(some) for _ in range(rng.randrange(40))) for _ in range(30)]
+        assert _ids(rows) == _plain_ids(rows)
+    packing._forget()
+
+
 def test_media(spark, docs, empty, texts):
     out = {r.doc_id: r for r in media.media_features(media.read_archives(spark, media.write_archives(docs))).collect()}
     for i, t in texts.items():
